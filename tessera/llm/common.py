@@ -102,3 +102,25 @@ def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) ->
         share = spread < F.lit(most / max(n, 1)) if n > most else F.lit(True)
         kept = kept | (F.col(by).eqNullSafe(F.lit(value)) & share)
     return df.filter(kept)
+
+
+class Recent(dict):
+    """What `make` gives by key, kept for the keys met lately: at most `most` of up to 64 characters.
+
+    Two generations: when the young one holds half of `most`, it takes the place of the old one.
+    """
+
+    def __init__(self, make, most: int = 600_000):
+        super().__init__()
+        self.make, self.half, self.old = make, most // 2, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

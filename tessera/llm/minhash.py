@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, starts_of, table, text_slices
+from .common import Recent, Scratch, starts_of, table, text_slices
 from .components import components
 
-PERMS, BANDS, SHINGLE, THRESHOLD, MEMO = 128, 32, 3, 0.5, 300_000
+PERMS, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,19 +37,13 @@ _B = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    """64-bit hash by raw token; 0 for a token of punctuation only."""
+def _word_hash(raw: str) -> int:
+    """64-bit hash of a raw token; 0 for a token of punctuation only."""
+    word = _EDGE.sub("", raw.lower())
+    return (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1) if word else 0
 
-    def __missing__(self, raw: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        word = _EDGE.sub("", raw.lower())
-        value = (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1) if word else 0
-        self[raw] = value
-        return value
 
-
-_words = _WordHash()
+_words = Recent(_word_hash)
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_sample, segment_sum, starts_of, table, text_slices
+from .common import Recent, bounded_sample, segment_sum, starts_of, table, text_slices
 from .trees import BoostedTrees, Isotonic
 
 #: A public-knowledge start of the insult lexicon; the rest is mined from the labels.
@@ -30,7 +31,7 @@ FEATURES = (
     "log_words", "strong_density", "strong_hits", "strong_distinct", "weak_density", "weak_hits", "weight_density", "max_weight",
     "near_second", "second_density", "capitals", "exclaim", "punctuation", "obfuscated", "hidden_hits", "sentences",
 )
-STRONG, PREFIXES, MEMO = 3.0, range(3, 9), 300_000
+STRONG, PREFIXES = 3.0, range(3, 9)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
@@ -40,31 +41,30 @@ def units(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
 
 
-class Words(dict):
-    """Attributes by raw token, filled as tokens appear: a list index into the columns below."""
+class Words:
+    """A raw token's attributes as one integer, whose bits `features` reads."""
 
     def __init__(self, lexicon: dict[str, float]):
-        super().__init__()
-        self.lexicon, self.columns = lexicon, [[] for _ in range(8)]
+        self.lexicon = lexicon
+        self.code = Recent(self._code)
 
     def weight(self, word: str) -> float:
         get = self.lexicon.get
         return max([get(u, 0.0) for u in units(word)], default=0.0)
 
-    def __missing__(self, raw: str) -> int:
+    def _code(self, raw: str) -> int:
         core = _EDGE.sub("", raw)
         word = core.lower()
         weight, hidden = self.weight(word) if word else 0.0, 0.0
-        odd = bool(word) and not word.isalpha() and any(c.isalpha() for c in word) and "-" not in word and "'" not in word and "’" not in word
-        if odd and "\n" not in word:  # letters with digits or signs inside: read it as if they were letters
+        odd = bool(word) and not word.isalpha() and any(c.isalpha() for c in word) and not any(c in word for c in "-'’\n")
+        if odd:  # letters with digits or signs inside: read it as if they were letters
             for plain in {_INNER.sub("", word.translate(LEET)), _INNER.sub("", word)}:
                 hidden = max(hidden, self.weight(plain))
-        index = len(self.columns[0])
-        letters = sum(c.isalpha() for c in core)
-        for column, value in zip(self.columns, (max(weight, hidden), word in SECOND, letters > 1 and core.isupper(), raw.count("!"), len(raw) - len(core), odd, hidden > 0, raw[-1:] in ".!?")):
-            column.append(float(value))
-        self[raw] = index
-        return index
+        weight = max(weight, hidden)
+        caps = core.isupper() and sum(c.isalpha() for c in core) > 1
+        flags = (word in SECOND) | caps << 1 | odd << 2 | (hidden > 0) << 3 | (raw[-1:] in ".!?") << 4
+        name = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0xFFFF if weight else 0
+        return round(min(weight, 10) * 100) | flags << 10 | min(raw.count("!"), 15) << 15 | min(len(raw) - len(core), 15) << 19 | name << 23
 
 
 _memo: dict[int, Words] = {}
@@ -73,29 +73,31 @@ _memo: dict[int, Words] = {}
 def features(texts: list[str], lexicon: dict[str, float], version: int) -> np.ndarray:
     """One row of FEATURES for each text."""
     words = _memo.get(version)
-    if words is None or len(words) > MEMO:
+    if words is None:
         _memo.clear()
         words = _memo[version] = Words(lexicon)
     tokens = [x.split() for x in texts]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    of = words.__getitem__
+    of = words.code.__getitem__
     codes = np.fromiter((c for row in tokens for c in map(of, row)), np.int64, int(sizes.sum()))
-    weight, second, caps, exclaim, punct, odd, hidden, stop = (np.asarray(c)[codes] if len(codes) else np.zeros(0) for c in words.columns)
-    at, n = starts_of(sizes), np.maximum(sizes, 1)
-    strong, weak = weight >= STRONG, (weight > 0) & (weight < STRONG)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    near = np.zeros(len(codes))
-    for shift in range(1, 4):  # a listed word at most 3 words from a second-person pronoun, in the same text
-        for a, b in ((slice(shift, None), slice(None, -shift)), (slice(None, -shift), slice(shift, None))):
-            near[a] = np.maximum(near[a], (weight[a] > 0) & (second[b] > 0) & (doc[a] == doc[b])) if len(codes) > shift else near[a]
-    top = np.zeros(len(texts))
-    np.maximum.at(top, doc[weight > 0], weight[weight > 0])
-    distinct = np.bincount(np.unique(np.stack([doc[strong], codes[strong]]), axis=1)[0], minlength=len(texts)) if strong.any() else np.zeros(len(texts))
+    flag = lambda k: codes >> (10 + k) & 1
+    at, n, doc = starts_of(sizes), np.maximum(sizes, 1), np.repeat(np.arange(len(texts)), sizes)
     s = lambda v: segment_sum(v, at)
-    sum_strong, sum_weak = s(strong), s(weak)
+    hits = np.flatnonzero(codes & 1023)
+    weight, owner, second = (codes[hits] & 1023) / 100, doc[hits], flag(0)
+    per = lambda v: np.bincount(owner, v, len(texts))
+    strong = weight >= STRONG
+    top = np.zeros(len(texts))
+    np.maximum.at(top, owner, weight)
+    near = np.zeros(len(hits))
+    for shift in (-3, -2, -1, 1, 2, 3):  # a second-person pronoun at most 3 words off, in the same text
+        other = np.clip(hits + shift, 0, max(len(codes) - 1, 0))
+        near = np.maximum(near, second[other] * (doc[other] == owner)) if len(hits) else near
+    pairs = np.unique(owner[strong] << 16 | codes[hits[strong]] >> 23)
+    sum_strong, sum_weak = per(strong), per(~strong)
     return np.stack([
-        np.log1p(sizes), sum_strong / n, np.minimum(sum_strong, 20), np.minimum(distinct, 10), sum_weak / n, np.minimum(sum_weak, 20), s(weight) / n, top,
-        s(near) / n, s(second) / n, s(caps) / n, s(exclaim) / n, s(punct) / n, s(odd) / n, np.minimum(s(hidden), 10), s(stop) / n,
+        np.log1p(sizes), sum_strong / n, np.minimum(sum_strong, 20), np.minimum(np.bincount(pairs >> 16, minlength=len(texts)), 10), sum_weak / n, np.minimum(sum_weak, 20), per(weight) / n, top,
+        per(near) / n, s(second) / n, s(flag(1)) / n, s(codes >> 15 & 15) / n, s(codes >> 19 & 15) / n, s(flag(2)) / n, np.minimum(s(flag(3)), 10), s(flag(4)) / n,
     ], 1)
 
 

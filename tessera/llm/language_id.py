@@ -190,6 +190,24 @@ def identifier(profiles: Profiles):
     return identify
 
 
+def keeper(profiles: Profiles, least_lead: float = 0.1):
+    """A column function (text, declared language) -> whether a language filter keeps the row.
+
+    Rejected is a text of no profile's language, and one that is declared in a profile's language while
+    another's is nearer by at least least_lead. A null or unknown declaration rejects nothing.
+    """
+
+    def keep(texts: pa.Array, declared: pa.Array) -> pa.Array:
+        out, said = [], declared.to_pylist()
+        for first, rows in text_slices(texts):
+            best, _, lead = profiles.identify(rows)
+            for b, ahead, lang in zip(best, lead, said[first : first + len(rows)]):
+                out.append(bool(b >= 0 and (lang not in profiles.languages or lang == profiles.languages[b] or ahead < least_lead)))
+        return pa.array(out, pa.bool_())
+
+    return arrow_udf(keep, "boolean")
+
+
 def identify_documents(documents: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, distance, lead) for each row of documents."""
     got = documents.select(F.col(id_col).alias(id_col), identifier(profiles)(F.col(text_col)).alias("found"))

@@ -22,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -166,5 +166,21 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     return out.withColumn("keep", (F.col(id_col) == F.col("group_id")).cast("int"))
 
 
+def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those that aren't kept; of rows with one id one stays, those with a null id all.
+
+    The ids to drop are anti-joined; Spark broadcasts them only where their size allows it.
+    """
+    away = groups(documents, threshold, id_col, text_col).filter("keep = 0").select(F.col(id_col).alias("_away"))
+    again = documents.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(F.col(id_col).alias("_again"))
+    kept = documents.join(away, F.col(id_col) == F.col("_away"), "left_anti")
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in documents.columns]))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    one = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*names)
+    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(one)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))

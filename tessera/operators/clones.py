@@ -4,27 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import SEPARATOR, hex_digest
 from ..sources.facts import Facts
 
 
-def kgrams(tokens: Column, k: int) -> Column:
-    """array<struct<pos, h1, h2>>: two 64-bit hashes of each run of k tokens, made within the scan.
+def kgrams(texts: DataFrame, keys: list[str], tokens: str, k: int) -> DataFrame:
+    """(keys, pos, h1, h2): two 64-bit hashes of each run of k tokens, made within the scan.
 
-    Together they are 128 bits, so equal hashes stand for equal runs.
+    Together they are 128 bits, so equal hashes stand for equal runs. Hashes of runs of 2, 4, 8, ...
+    tokens are made from those of half the length, and the last two overlap: log k steps, not k. Each
+    step is a column of its own; within the next one's lambda it would be made anew for every run.
     """
-    coded = F.transform(tokens, lambda t: F.xxhash64(t))
-    runs = F.when(F.size(tokens) >= k, F.sequence(F.lit(0), F.size(tokens) - k)).otherwise(F.array().cast("array<int>"))
-    piece = lambda p: F.slice(coded, p + 1, F.lit(k))
-    return F.transform(runs, lambda p: F.struct(p.alias("pos"), F.xxhash64(piece(p)).alias("h1"), F.xxhash64(F.lit(k), piece(p)).alias("h2")))
+
+    def pairs(width: int, shift: int):
+        a, b = (lambda i: F.get("_run", i)), (lambda i: F.get("_run", i + shift))
+        n = F.size("_run") - shift
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(a(i)["h1"], b(i)["h1"]).alias("h1"), F.xxhash64(F.lit(width), a(i)["h2"], b(i)["h2"]).alias("h2")))
+
+    runs = texts.select(*keys, F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))).alias("_run"))
+    width = 1
+    while width < k:
+        shift = min(width, k - width)
+        runs, width = runs.select(*keys, pairs(width, shift).alias("_run")), width + shift
+    # Of a plain posexplode the optimizer infers a filter on the array's size, which goes below all the
+    # steps and there makes the whole chain of lambdas anew for each element; an outer one has none.
+    return runs.select(*keys, F.posexplode_outer("_run").alias("pos", "_h")).filter("_h is not null").select(*keys, "pos", "_h.h1", "_h.h2")
 
 
 def repeated(texts: DataFrame, keys: list[str], tokens: str, k: int, within: list[str] = ()) -> DataFrame:
     """(keys, pos, h1, h2) of the runs of k tokens that occur twice or more (in the same `within`)."""
-    runs = texts.select(*keys, F.inline(kgrams(F.col(tokens), k)))
+    runs = kgrams(texts, keys, tokens, k)
     group = [*within, "h1", "h2"]
     twice = runs.groupBy(*group).count().filter("count > 1").drop("count")
     return runs.join(twice, group, "left_semi")

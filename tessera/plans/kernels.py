@@ -14,7 +14,7 @@ from ..functions import names as N
 from ..functions.identity import occurrence
 from ..functions.versions import spec_matches, specs_intersect
 from ..operators import findings as Fi
-from ..operators.clones import repeated
+from ..operators.clones import kgrams
 from ..operators.graph import reach
 from ..scratch import Workspace
 
@@ -46,9 +46,10 @@ r AS (SELECT gram, count(*) AS members, count(DISTINCT doc_id) AS docs, min({'d'
 SELECT first.d AS doc_id, CAST(first.p AS INTEGER) AS pos, members, docs FROM r""")
 def clone_kgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 40 words that occur more than once: the first place, how often, in how many documents."""
-    runs = repeated(_words(table(spark, sf_dir, "documents")), ["doc_id"], "words", 40)
+    # One exchange serves both aggregates; as most runs occur once, combining before it would save nothing.
+    runs = kgrams(_words(table(spark, sf_dir, "documents")), ["doc_id"], "words", 40).repartition("h1", "h2")
     per = runs.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    out = per.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.sum("n").alias("members"), F.count("*").alias("docs"))
+    out = per.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.sum("n").alias("members"), F.count("*").alias("docs")).filter("members > 1")
     return out.select("first.doc_id", "first.pos", "members", "docs")
 
 

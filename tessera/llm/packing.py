@@ -50,7 +50,7 @@ class Bins:
         if level is None:
             insort(self.levels, residual)
             level = self.at[residual] = {}
-        level.setdefault((sources, clusters), []).append(number)
+        insort(level.setdefault((sources, clusters), []), number)
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """Bitmaps of the document -> (bin, offset in it): the tightest compatible bin, the oldest of equals."""

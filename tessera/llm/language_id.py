@@ -26,6 +26,8 @@ from .common import bounded_sample, starts_of, table, text_slices
 GRAMS, RUN, UND = 3, 1 << 20, "und"
 _BITS = np.uint64(44)
 _MASK = (np.uint64(1) << _BITS) - np.uint64(1)
+#: A multiplier for each length: a blank is 0, so " a" and "a" are one number that only the length tells apart.
+_MIX = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _LETTER: list[np.ndarray] = []
 
 
@@ -72,7 +74,6 @@ def ranked(texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     who[-1] = owner[-1]
     keys: list[np.ndarray] = []
     counts: list[np.ndarray] = []
-    mul = np.uint64(0x9E3779B97F4A7C15)
     for a in range(0, n, RUN):
         b = min(n, a + RUN)
         piece = line[a : min(n, b + GRAMS - 1)]
@@ -81,7 +82,7 @@ def ranked(texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         made = []
         gram = piece[:m].copy()
         letter = piece > 0
-        made.append((mine | ((gram * mul) >> np.uint64(20)) & _MASK)[letter[:m]])
+        made.append((mine | ((gram * _MIX[1]) >> np.uint64(20)) & _MASK)[letter[:m]])
         for k in range(2, GRAMS + 1):
             if len(piece) < k:
                 break
@@ -92,7 +93,7 @@ def ranked(texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 ok &= letter[inner : inner + m]
             if k == 2:
                 ok &= letter[:m] | letter[1 : 1 + m]
-            mixed = (gram ^ (gram >> np.uint64(29))) * mul + np.uint64(k)
+            mixed = (gram ^ (gram >> np.uint64(29))) * _MIX[k]
             made.append((mine[:m] | (mixed >> np.uint64(20)) & _MASK)[ok])
         both = np.sort(np.concatenate(made))
         head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)

@@ -138,7 +138,7 @@ def test_packing_covers_each_document_once(spark, docs):
 
 
 def test_held_out_toxicity(spark):
-    documents, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    documents, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(documents, labels.filter("doc_id % 2 = 0"))
     got = {r.doc_id: r.toxicity for r in toxicity.score_documents(documents, model).collect()}
     held = [(got[r.doc_id], r.toxic) for r in labels.filter("doc_id % 2 = 1").collect()]
@@ -146,7 +146,7 @@ def test_held_out_toxicity(spark):
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
     hits = sum(p >= model.threshold for p in bad) / len(bad)
     alarms = sum(p >= model.threshold for p in good) / len(good)
-    assert auc >= 0.9 and hits >= 0.7 and alarms <= 0.05, (auc, hits, alarms)
+    assert auc >= 0.97 and hits >= 0.9 and alarms <= 0.03, (auc, hits, alarms)
 
 
 def test_isotonic_is_the_best_monotone_fit():

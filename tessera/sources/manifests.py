@@ -45,7 +45,7 @@ def requirement_name(line: str) -> str | None:
     line = line.strip()
     if not line or line[0] in "#-":
         return None
-    if "://" in line or line.startswith("git+"):
+    if line.lower().startswith(("bzr+", "file:", "git+", "hg+", "http://", "https://", "svn+")):
         egg = re.search(r"#egg=([^&\s\[]+)", line)
         return normal(egg[1]) if egg else None
     name = re.split(r"[ <>=!~;\[(@]", line.partition(" #")[0].strip(), maxsplit=1)[0]

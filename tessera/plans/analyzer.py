@@ -1,7 +1,8 @@
-"""Analyzer queries: rules over the projects of `corpus`, held against values typed by hand.
+"""Analyzer queries: rules over the projects of `corpus`, held against literal rows.
 
-They don't read the driver's tables. Expected rows come from reading the fixture and the rules'
-definitions; the fingerprints of `audit_golden` are published ones.
+They don't read the driver's tables. The fingerprints, score and metrics of the sample project are
+published ones. The rows of EXPECTED were noted after a first run and then checked by hand, each
+against the fixture's text and the rule's definition, so they guard against change more than they prove.
 """
 
 from __future__ import annotations

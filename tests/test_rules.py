@@ -59,7 +59,7 @@ def test_many_projects_at_once(spark):
     e = Engine(spark, a.unionByName(b))
     got = {(r.project, r.location.path, r.confidence) for r in e.findings(["dead-code"]).filter("rule = 'unused-file'").collect()}
     assert got == {("one", "x.py", "likely"), ("one", "y.py", "likely"), ("two", "z.py", "uncertain")}
-    assert {(r.project, r.files_analyzed) for r in e.score(e.audit()).collect()} == {("one", 2), ("two", 2)}
+    assert {(r.project, r.files_analyzed) for r in e.score(e.findings(["complexity"])).collect()} == {("one", 2), ("two", 2)}
 
 
 def test_package_rollup(spark):
@@ -133,7 +133,7 @@ def test_clones_against_all_suffixes(spark):
 
 def test_gate_baseline_and_fixes(spark, tmp_path):
     e = Engine.over_files(spark, {"m.py": "import os\nimport sys\nx = 'a'\nif __name__ == '__main__':\n    print(x)\n"})
-    all_ = e.dead_code()
+    all_ = e.workspace.keep(e.findings(["dead-code"]), "found")
     hunks = spark.createDataFrame([("", "m.py", 2, 2)], "project string, path string, start bigint, end bigint")
     gated, summary = e.report(all_, hunks=hunks, gate=True)
     assert found(gated) == [("unused-import", "m.py", 2, "certain")] and summary.first().introduced == 1
@@ -145,7 +145,7 @@ def test_gate_baseline_and_fixes(spark, tmp_path):
 
 def test_reports(spark):
     e = Engine.over_files(spark, {"m.py": "import os\npassword = 'a<b>c'\nif __name__ == '__main__':\n    print(password)\n"})
-    got = e.audit()
+    got = e.workspace.keep(e.findings(["dead-code", "security"]), "found")
     sarif = json.loads(report.to_sarif(got))["runs"][0]
     assert {r["id"] for r in sarif["tool"]["driver"]["rules"]} == {"hardcoded-secret", "unused-import"} and len(sarif["results"]) == 2
     assert json.loads(report.to_json("audit", got, e.score(got)))["summary"][0]["total"] == 2
@@ -160,14 +160,14 @@ def test_chaos_and_isolation(spark, monkeypatch):
 
     texts = {"deep.py": "(" * 5000 + ")" * 5000, "nul.py": "a\0b", "open.py": "'''x", "bom.py": "﻿import os\r\n", "uni.py": "größe = 1\n", "wide.py": "x = [" + "1, " * 20_000 + "]\n", "ok.py": "x = 1\n"}
     e = Engine.over_files(spark, texts)
-    got = e.audit()
+    got = e.workspace.keep(e.audit(), "found")
     assert got.filter("rule = 'engine-panic'").isEmpty() and e.score(got).first().files_analyzed == 7
 
     def broken(a):
         raise RuntimeError("no")
 
     monkeypatch.setitem(ENGINES, "types", ("type-health", [broken]))
-    panic = e.findings(["types", "dead-code"])
+    panic = e.workspace.keep(e.findings(["types", "dead-code"]), "panic")
     assert [(r.severity, r.category) for r in panic.filter("rule = 'engine-panic'").collect()] == [("error", "type-health")]
     assert panic.count() > 1
 

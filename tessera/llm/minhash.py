@@ -137,13 +137,14 @@ def _walk(threshold: float):
     return walk
 
 
-def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(id, group_id, keep): one row for each distinct id; group_id is the least id of its group, which is kept."""
-    spark = documents.sparkSession
-    scratch = scratch or Scratch(spark, "minhash")
-    rows = documents.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).filter(F.col("id").isNotNull())
-    # node: 8 bytes of the digest, enough to bring candidates together; the digest itself decides.
-    sigs = scratch.table(rows.select("id", F.col("s.sig").alias("sig"), F.col("s.dg").alias("dg"), F.xxhash64("s.dg").alias("node")), "signatures")
+def _signed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with their struct s of signature() taken apart, written; node: 8 bytes of the digest, enough to bring candidates together; the digest itself decides."""
+    rest = [c for c in rows.columns if c != "s"]
+    return scratch.table(rows.select(*rest, F.col("s.sig").alias("sig"), F.col("s.dg").alias("dg"), F.xxhash64("s.dg").alias("node")), "signatures")
+
+
+def _roots(sigs: DataFrame, threshold: float, scratch: Scratch, ties: DataFrame | None = None) -> DataFrame:
+    """(node, root), both digests, for all in a group but its root; ties: further edges (u, v) of digests."""
     worded = sigs.filter(F.col("sig").isNotNull())
     width = 4 * PERMS // BANDS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
@@ -154,11 +155,20 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     wanted = worded.select("node", "dg", "sig").join(asked.select("node").distinct(), "node", "left_semi").groupBy("node", "dg").agg(F.first("sig").alias("sig"))
     full = asked.join(wanted, "node").groupBy("bucket").agg(F.collect_list(F.struct("dg", "sig")).alias("members"))
     edges = full.select("members").mapInArrow(_walk(threshold), "u binary, v binary")
-    # Rows of one id with different texts tie their nodes together.
-    many = worded.groupBy("id").agg(F.min("dg").alias("u"), F.max("dg").alias("top"), F.collect_set("dg").alias("dgs")).filter("u <> top")
-    edges = edges.union(many.select("u", F.explode("dgs").alias("v")))
-    roots = scratch.table(components(edges, scratch), "roots")
+    roots = scratch.table(components(edges.union(ties) if ties is not None else edges, scratch), "roots")
     scratch.drop("buckets")
+    return roots
+
+
+def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(id, group_id, keep): one row for each distinct id; group_id is the least id of its group, which is kept."""
+    spark = documents.sparkSession
+    scratch = scratch or Scratch(spark, "minhash")
+    rows = documents.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).filter(F.col("id").isNotNull())
+    sigs = _signed(rows, scratch)
+    # Rows of one id with different texts tie their nodes together.
+    many = sigs.filter(F.col("sig").isNotNull()).groupBy("id").agg(F.min("dg").alias("u"), F.max("dg").alias("top"), F.collect_set("dg").alias("dgs")).filter("u <> top")
+    roots = _roots(sigs, threshold, scratch, many.select("u", F.explode("dgs").alias("v")))
     one = sigs.groupBy("id").agg(F.min("dg").alias("dg"))
     placed = one.join(roots, one.dg == roots.node, "left").select("id", F.coalesce("root", "dg").alias("root"))
     least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
@@ -166,6 +176,15 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     return out.withColumn("keep", (F.col(id_col) == F.col("group_id")).cast("int"))
 
 
+def clusters(rows: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
+    """The rows with `cluster` in place of the text: one value for all rows of a near-duplicate group, whatever their ids; null where there's no word."""
+    scratch = scratch or Scratch(rows.sparkSession, "clusters")
+    rest = [c for c in rows.columns if c != text_col]
+    sigs = _signed(rows.select(*rest, signature(F.col(text_col)).alias("s")), scratch)
+    roots = _roots(sigs, threshold, scratch).select(F.col("node").alias("_node"), "root")
+    return sigs.join(roots, F.col("dg") == F.col("_node"), "left").select(*rest, F.hex(F.coalesce("root", "dg")).alias("cluster"))
+
+
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without those that aren't kept; of rows with one id one stays, those with a null id all.
 

@@ -4,7 +4,8 @@ A document longer than a sequence is cut into full pieces, which fill a bin each
 and short documents are packed best-fit decreasing: bins are kept in order of their residual, each
 with a bitmap of the sources and one of the duplicate clusters it holds, and the search walks from
 the tightest residual that fits to its successors until a bin shares neither with the document.
-Only clusters of two or more members have a bit, since others can't conflict.
+Only clusters of two or more members have a bit, since others can't conflict. The query's clusters
+are the groups of near copies that minhash finds; a text without words forms one with its equals.
 
 Bins never cross shards. A shard is a slice of the documents by the id's hash, its number follows
 the count of documents, and every shard is packed whole in one task, so conflicts are exact.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import table
 
 CAPACITY, PER_SHARD = 2048, 40_000
@@ -35,6 +37,12 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
 
 
+def plain_hash(text: Column) -> Column:
+    """Equal for texts that are equal but for case and white space."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.concat(F.hex(F.xxhash64(plain)), F.hex(F.crc32(plain)))
+
+
 class Bins:
     """Open bins ordered by residual; at each residual they are grouped by equal bitmaps."""
 
@@ -120,8 +128,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_shard: in
     duplicate cluster; by default documents whose texts are equal but for case and white space form one.
     """
     text = F.col(text_col)
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    cluster = F.col(cluster_col).cast("string") if cluster_col else F.concat(F.hex(F.xxhash64(plain)), F.hex(F.crc32(plain)))
+    cluster = F.col(cluster_col).cast("string") if cluster_col else plain_hash(text)
     rows = documents.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), (tokens if tokens is not None else count_tokens(text)).cast("bigint").alias("tokens"),
     ).filter("tokens > 0")
@@ -135,5 +142,13 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_shard: in
     return got.withColumnRenamed("id", id_col)
 
 
+def near_clusters(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, tokens, cluster): near copies have one cluster, and so have texts without words that are equal but for case and white space."""
+    text = F.col(text_col)
+    bare = F.when(~text.rlike(r"[\p{L}\p{N}]"), plain_hash(text))
+    rows = documents.select(F.col(id_col), F.col(source_col), text, count_tokens(text).alias("tokens"), bare.alias("bare"))
+    return minhash.clusters(rows, text_col).select(id_col, source_col, "tokens", F.coalesce("cluster", "bare").alias("cluster"))
+
+
 def op3_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(near_clusters(table(spark, sf_dir, "documents")), cluster_col="cluster", tokens=F.col("tokens"))

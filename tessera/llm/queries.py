@@ -8,7 +8,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chat.op1_chat_format, topk.op2_exact_topk, packing.op3_bestfit_pack, toxicity.op4_toxicity, minhash.op5_minhash_dedup,
-        simple8b.op6_simple8b, language_id.op7_language_id, bpe.op8_bpe, url_lists.op9_url_filter, audio.op10_telephony_audio,
+        simple8b.op6_simple8b, language_id.op7_language_id, bpe.op8_bpe, url_lists.op9_url_filter, url_lists.op9_url_filter_listed, audio.op10_telephony_audio,
     )
 }
-ORACLES = {"op2_exact_topk": topk.OP2_SQL, "op9_url_filter": url_lists.OP9_SQL}
+ORACLES = {"op2_exact_topk": topk.OP2_SQL, "op9_url_filter": url_lists.OP9_SQL, "op9_url_filter_listed": url_lists.OP9_LISTED_SQL}

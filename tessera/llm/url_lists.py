@@ -31,18 +31,26 @@ ENTRIES = [
     ("optout", "thther.example.org/en", "remove", "2023-10-01"), ("optout", "therti.example.org", "add", "2024-01-01"),
 ]
 
+#: Names that the longer list holds under each domain of the table.
+BAD = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port or closing dot; '' where there is none."""
     return F.regexp_replace(F.regexp_extract(F.lower(url), _AUTHORITY + r"([^/:?#]*)", 1), r"\.+$", "")
 
 
+def path(url: Column) -> Column:
+    """The parts of the path that aren't empty."""
+    return F.filter(F.split(F.regexp_extract(url, r"(?i)" + _AUTHORITY + r"[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+
+
 def keys(url: Column) -> Column:
     """Every pattern that covers the URL."""
     name = host(url)
     labels = F.split(name, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.split(F.regexp_extract(url, r"(?i)" + _AUTHORITY + r"[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+    parts = path(url)
     paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array_union(suffixes, F.when(F.size(parts) > 0, paths).otherwise(F.array().cast("array<string>"))))
 
@@ -71,10 +79,40 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     return out.withColumnsRenamed({"id": id_col, "url": url_col, "fetched": day_col})
 
 
-def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no fetch day of their own: it is taken to be page_id days (of two years) after 2023-01-01."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") % 730).cast("int")).alias("fetched"))
-    return filter_captures(pages, spark.createDataFrame(ENTRIES, "list string, pattern string, action string, day string"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") % 730).cast("int")).alias("fetched"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_captures(_fetched(spark, sf_dir), spark.createDataFrame(ENTRIES, "list string, pattern string, action string, day string"))
+
+
+def listed(captures: DataFrame, url_col: str = "url") -> DataFrame:
+    """Entries (list, pattern, action, day) over all hosts and paths of the captures, so that the list grows with them.
+
+    By the MD5 of the pattern: an eighth of the hosts and of the hosts with one part of a path, a sixteenth
+    of those with two. Besides, BAD names under each domain of the table. Each is added on a day of its own;
+    half are removed later, and a quarter of all are removed and added again.
+    """
+    rows = captures.select(host(F.col(url_col)).alias("name"), path(F.col(url_col)).alias("parts")).filter("name <> ''")
+    upto = lambda n: F.when(F.size("parts") >= n, F.concat_ws("/", "name", F.slice("parts", 1, n)))
+    entry = lambda name, pattern, share: F.struct(F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(share).alias("share"))
+    found = rows.select(F.explode(F.array(entry("optout", F.col("name"), 2), entry("optout", upto(1), 2), entry("malware", upto(2), 1))).alias("e")).select("e.*").dropna()
+    domains = rows.select(F.slice(F.split("name", r"\."), -2, 2).alias("d")).filter(F.size("d") == 2).distinct()
+    bad = domains.select(F.lit("spam").alias("list"), F.explode(F.array(*map(F.lit, BAD))).alias("bad"), "d").select("list", F.concat_ws(".", "bad", "d").alias("pattern"), F.lit(16).alias("share"))
+    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("pattern"), k, 1)) - 1
+    chosen = found.filter(digit(1) < F.col("share")).distinct().union(bad)
+    begin = F.date_add(F.lit("2022-07-01").cast("date"), 16 * digit(2) + digit(3))
+    end = F.date_add(begin, 90 + 32 * digit(4))
+    change = lambda action, day, when: F.when(when, F.struct(F.lit(action).alias("action"), day.alias("day")))
+    changes = F.array(change("add", begin, F.lit(True)), change("remove", end, digit(5) < 8), change("add", F.date_add(end, 60), digit(5) < 4))
+    return chosen.select("list", "pattern", F.explode(changes).alias("c")).filter("c is not null").select("list", "pattern", "c.action", "c.day")
+
+
+def op9_url_filter_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _fetched(spark, sf_dir)
+    return filter_captures(pages, listed(pages))
 
 
 OP9_SQL = f"""
@@ -91,3 +129,16 @@ hits AS (SELECT k.page_id, k.pattern, s.list, row_number() OVER (PARTITION BY k.
   FROM keyed k JOIN spans s ON k.pattern = s.pattern AND k.fetched >= s.day AND (s.valid_to IS NULL OR k.fetched < s.valid_to))
 SELECT c.page_id, c.url, c.fetched, CASE WHEN h.pattern IS NULL THEN 0 ELSE 1 END AS blocked, h.list, h.pattern FROM caps c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1
 """
+
+#: The longer list in SQL; what is done with it is what OP9_SQL does.
+OP9_LISTED_SQL = f"""
+WITH split AS (SELECT regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)', 1) AS name,
+  list_filter(string_split(regexp_extract(url, '(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts FROM pages),
+found AS (SELECT 'optout' AS list, name AS pattern, 2 AS share FROM split
+  UNION SELECT 'optout', name || '/' || parts[1], 2 FROM split WHERE len(parts) >= 1
+  UNION SELECT 'malware', name || '/' || parts[1] || '/' || parts[2], 1 FROM split WHERE len(parts) >= 2
+  UNION SELECT 'spam', bad || '.' || array_to_string(string_split(name, '.')[-2:], '.'), 16 FROM split, (VALUES {", ".join(f"('{b}')" for b in BAD)}) b(bad)),
+digits AS (SELECT *, list_transform(range(1, 6), lambda k: instr('0123456789abcdef', md5(pattern)[k]) - 1) AS x FROM found),
+chosen AS (SELECT list, pattern, x, DATE '2022-07-01' + (16 * x[2] + x[3])::INTEGER AS first, DATE '2022-07-01' + (16 * x[2] + x[3] + 90 + 32 * x[4])::INTEGER AS last FROM digits WHERE x[1] < share),
+entries AS (SELECT list, pattern, 'add' AS action, first AS day FROM chosen UNION ALL SELECT list, pattern, 'remove', last FROM chosen WHERE x[5] < 8 UNION ALL SELECT list, pattern, 'add', last + 60 FROM chosen WHERE x[5] < 4),
+{OP9_SQL[OP9_SQL.index("days AS"):]}"""

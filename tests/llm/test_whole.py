@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
-from tessera.llm import packing
+import duckdb
+import pytest
+
+from tessera.llm import packing, queries
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -25,3 +28,16 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
         assert not {90, 91} <= b and not {92, 93} <= b
         assert not (None in b and b & {0, 1})
     assert max(map(len, bins.values())) > 20  # the others do share
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_listed_urls_are_hit_at_each_scale(spark, sf):
+    at = f"/root/testdata/{sf}"
+    got = queries.QUERIES["op9_url_filter_listed"](spark, at).select("page_id", "url", "fetched", "blocked", "list", "pattern").collect()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{at}/pages.parquet'")
+    want = con.execute(f"select page_id, url, fetched, blocked, list, pattern from ({queries.ORACLES['op9_url_filter_listed']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    hits = [r for r in got if r.blocked]
+    assert len(got) / 20 < len(hits) < len(got) / 2
+    assert sf == "sf0.001" or {r.list for r in hits} == {"optout", "malware", "spam"}

@@ -41,3 +41,17 @@ def test_listed_urls_are_hit_at_each_scale(spark, sf):
     hits = [r for r in got if r.blocked]
     assert len(got) / 20 < len(hits) < len(got) / 2
     assert sf == "sf0.001" or {r.list for r in hits} == {"optout", "malware", "spam"}
+
+
+def test_shards_cover_each_document_and_conflict_in_none(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    whole, got = packing.pack_documents(docs).collect(), packing.pack_documents(docs, per_shard=20).collect()
+    total = lambda rows: {d: sum(r.length for r in rows if r.doc_id == d) for d in {r.doc_id for r in rows}}
+    assert total(got) == total(whole)
+    assert {r.shard for r in got} == set(range(10)) and {r.shard for r in whole} == {0}
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.shard, r.bin].append(r)
+    for b in bins.values():
+        assert len({source[r.doc_id] for r in b}) == len(b) and sum(r.length for r in b) <= packing.CAPACITY

@@ -121,7 +121,7 @@ class Bpe:
 
     def decode(self, ids) -> str:
         of = self.tokens
-        return b"".join([of[int(i)] for i in ids]).decode("utf-8", "replace")
+        return b"".join([of[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -130,14 +130,24 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _encode(path: str, texts: pa.Array) -> pa.Array:
+    bpe = load(path)
+    got = [bpe.encode_bytes(x) for _, rows in text_slices(texts) for x in rows]
+    offsets = starts_of(np.fromiter((len(g) // 4 for g in got), np.int64, len(got)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
+
+
+def _decode(path: str, ids: pa.Array) -> pa.Array:
+    bpe = load(path)
+    flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()  # a row's ids at a time become objects
+    return pa.array([bpe.decode(flat[a:b] if some else []) for a, b, some in zip(at, at[1:], ids.is_valid().to_pylist())], pa.string())
+
+
 def encoder(path: str = VOCABULARY):
     """A column function: text -> array<int> of ids."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        bpe = load(path)
-        got = [bpe.encode_bytes(x) for _, rows in text_slices(texts) for x in rows]
-        offsets = starts_of(np.fromiter((len(g) // 4 for g in got), np.int64, len(got)))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
+        return _encode(path, texts)
 
     return arrow_udf(encode, "array<int>")
 
@@ -146,12 +156,21 @@ def decoder(path: str = VOCABULARY):
     """A column function: array<int> -> text; a null gives ''."""
 
     def decode(ids: pa.Array) -> pa.Array:
-        bpe = load(path)
-        return pa.array([bpe.decode(x or []) for x in ids.to_pylist()], pa.string())
+        return _decode(path, ids)
 
     return arrow_udf(decode, "string")
 
 
+def both_ways(path: str = VOCABULARY):
+    """A column function: text -> struct of its ids and the text that they decode to; as decoder() of encoder() Spark would encode twice."""
+
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encode(path, texts)
+        return pa.StructArray.from_arrays([ids, _decode(path, ids)], ["token_ids", "text"])
+
+    return arrow_udf(both, "struct<token_ids: array<int>, text: string>")
+
+
 def encode_documents(documents: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids, n_tokens) for each row of documents."""
     got = documents.select(F.col(id_col).alias(id_col), encoder(path)(F.col(text_col)).alias("token_ids"))
@@ -164,4 +183,6 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    """(doc_id, token_ids, n_tokens, text): the ids of each document, and the text that they decode to."""
+    got = table(spark, sf_dir, "documents").select("doc_id", both_ways()(F.col("text")).alias("b"))
+    return got.select("doc_id", "b.token_ids", F.size("b.token_ids").alias("n_tokens"), "b.text")

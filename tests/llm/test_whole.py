@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from tessera.llm import packing, queries
+from tessera.llm import bpe, packing, queries
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -55,3 +55,11 @@ def test_shards_cover_each_document_and_conflict_in_none(spark):
         bins[r.shard, r.bin].append(r)
     for b in bins.values():
         assert len({source[r.doc_id] for r in b}) == len(b) and sum(r.length for r in b) <= packing.CAPACITY
+
+
+def test_bpe_gives_back_every_text(spark):
+    at = "/root/testdata/sf0.01"
+    want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = bpe.op8_bpe(spark, at).collect()
+    assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want
+    assert all(r.n_tokens == len(r.token_ids) for r in got) and sum(r.n_tokens for r in got) > 1000

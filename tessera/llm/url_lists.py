@@ -57,7 +57,9 @@ def keys(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to) of the adds; valid_to is null while an entry still holds."""
-    clean = entries.select("list", F.lower("pattern").alias("pattern"), "action", F.col("day").cast("date").alias("day")).dropna()
+    name = F.substring_index("pattern", "/", 1)  # only the host's case is without meaning
+    pattern = F.concat(F.lower(name), F.substring(F.col("pattern"), F.length(name) + 1, F.length("pattern")))
+    clean = entries.select("list", pattern.alias("pattern"), "action", F.col("day").cast("date").alias("day")).dropna()
     days = clean.groupBy("list", "pattern", "day").agg(F.max((F.col("action") == "add").cast("int")).alias("active"))
     order = Window.partitionBy("list", "pattern").orderBy("day")
     return days.withColumn("valid_to", F.lead("day").over(order)).filter("active = 1").select("list", "pattern", F.col("day").alias("valid_from"), "valid_to")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from tessera.llm import bpe, packing, queries
+from tessera.llm import bpe, packing, queries, url_lists
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -63,3 +63,11 @@ def test_bpe_gives_back_every_text(spark):
     got = bpe.op8_bpe(spark, at).collect()
     assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want
     assert all(r.n_tokens == len(r.token_ids) for r in got) and sum(r.n_tokens for r in got) > 1000
+
+
+def test_the_case_of_a_listed_path_counts(spark):
+    entries = spark.createDataFrame([("l", "Example.ORG/Private", "add", "2024-01-01"), ("l", "BAD.example", "add", "2024-01-01"), ("l", None, "add", "2024-01-01")], "list string, pattern string, action string, day string")
+    urls = ["http://EXAMPLE.org/Private/x", "http://example.org/private/x", "http://example.org/", "http://a.Bad.Example/Q"]
+    pages = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)], "page_id bigint, url string, fetched string")
+    got = {r.page_id: r.pattern for r in url_lists.filter_captures(pages, entries).collect()}
+    assert got == {0: "example.org/Private", 1: None, 2: None, 3: "bad.example"}

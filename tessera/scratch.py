@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,15 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in local tests, one of our own."""
+    """spark.checkpoint.dir of the session; only where that is unset and all runs in this process, one of our own.
+
+    On a cluster a folder of this machine is none that executors share, so that without the setting it raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -35,6 +41,9 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        self.remove(f"{self.root}/{name}")
+
     def remove(self, path: str) -> None:
         try:
             context = self.spark.sparkContext

@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Workspace
 
-_LOCAL: list[str] = []
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests in local mode) a local folder is made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="tessera-scratch-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        at = _LOCAL[0]
-    return at.rstrip("/")
-
-
-class Scratch:
+class Scratch(Workspace):
     """Tables written to the shared folder to cut lineage; a lost executor loses none of them."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._drop, self.root)
-
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        self._drop(f"{self.root}/{name}")
-
-    def _drop(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before this process does
-            pass
+        return self.keep(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +38,34 @@ def text_slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, l
         yield first, rows
 
 
+def array_slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+    """The texts in runs of about `most` bytes; a null counts as ''."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def tokenized(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens between white space, each token's index among them, and the number of tokens by text.
+
+    Splitting and numbering run in Arrow; only distinct tokens become Python strings.
+    """
+    lists = pc.utf8_split_whitespace(texts)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    if "" in words:  # before leading and after closing white space
+        some = index != words.index("")
+        owner = np.repeat(np.arange(len(sizes)), sizes)[some]
+        index, sizes = index[some], np.bincount(owner, minlength=len(sizes))
+    return words, index, sizes
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive runs: 0, then the running sum."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Recent, bounded_sample, segment_sum, starts_of, table, text_slices
+from .common import Recent, array_slices, bounded_sample, segment_sum, starts_of, table, tokenized
 from .trees import BoostedTrees, Isotonic
 
 #: A public-knowledge start of the insult lexicon; the rest is mined from the labels.
@@ -42,17 +42,17 @@ def units(word: str) -> list[str]:
 
 
 class Words:
-    """A raw token's attributes as one integer, whose bits `features` reads."""
+    """Raw tokens' attributes: weight, flags, exclamation marks, signs at the edges, a hash of the word where it has a weight."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.code = Recent(self._code)
+        self.rows = Recent(self._row)
 
     def weight(self, word: str) -> float:
         get = self.lexicon.get
         return max([get(u, 0.0) for u in units(word)], default=0.0)
 
-    def _code(self, raw: str) -> int:
+    def _row(self, raw: str) -> tuple[float, int, int, int, int]:
         core = _EDGE.sub("", raw)
         word = core.lower()
         weight, hidden = self.weight(word) if word else 0.0, 0.0
@@ -63,41 +63,39 @@ class Words:
         weight = max(weight, hidden)
         caps = core.isupper() and sum(c.isalpha() for c in core) > 1
         flags = (word in SECOND) | caps << 1 | odd << 2 | (hidden > 0) << 3 | (raw[-1:] in ".!?") << 4
-        name = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0xFFFF if weight else 0
-        return round(min(weight, 10) * 100) | flags << 10 | min(raw.count("!"), 15) << 15 | min(len(raw) - len(core), 15) << 19 | name << 23
+        return weight, flags, raw.count("!"), len(raw) - len(core), zlib.crc32(word.encode("utf-8", "surrogatepass")) if weight else 0
 
 
 _memo: dict[int, Words] = {}
 
 
-def features(texts: list[str], lexicon: dict[str, float], version: int) -> np.ndarray:
-    """One row of FEATURES for each text."""
+def features(texts: pa.Array, lexicon: dict[str, float], version: int) -> np.ndarray:
+    """One row of FEATURES for each text, none of them null."""
     words = _memo.get(version)
     if words is None:
         _memo.clear()
         words = _memo[version] = Words(lexicon)
-    tokens = [x.split() for x in texts]
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    of = words.code.__getitem__
-    codes = np.fromiter((c for row in tokens for c in map(of, row)), np.int64, int(sizes.sum()))
-    flag = lambda k: codes >> (10 + k) & 1
+    distinct, index, sizes = tokenized(texts)
+    table_ = np.array(list(map(words.rows.__getitem__, distinct)), np.float64).reshape(-1, 5)
+    flags = table_[:, 1].astype(np.int64)
     at, n, doc = starts_of(sizes), np.maximum(sizes, 1), np.repeat(np.arange(len(texts)), sizes)
-    s = lambda v: segment_sum(v, at)
-    hits = np.flatnonzero(codes & 1023)
-    weight, owner, second = (codes[hits] & 1023) / 100, doc[hits], flag(0)
+    s = lambda v: segment_sum(v[index], at)
+    flag = lambda k: flags >> k & 1
+    hits = np.flatnonzero((table_[:, 0] > 0)[index])
+    weight, owner, second = table_[index[hits], 0], doc[hits], flag(0)[index]
     per = lambda v: np.bincount(owner, v, len(texts))
     strong = weight >= STRONG
     top = np.zeros(len(texts))
     np.maximum.at(top, owner, weight)
     near = np.zeros(len(hits))
     for shift in (-3, -2, -1, 1, 2, 3):  # a second-person pronoun at most 3 words off, in the same text
-        other = np.clip(hits + shift, 0, max(len(codes) - 1, 0))
+        other = np.clip(hits + shift, 0, max(len(index) - 1, 0))
         near = np.maximum(near, second[other] * (doc[other] == owner)) if len(hits) else near
-    pairs = np.unique(owner[strong] << 16 | codes[hits[strong]] >> 23)
+    pairs = np.unique(owner[strong] << 32 | table_[index[hits[strong]], 4].astype(np.int64))
     sum_strong, sum_weak = per(strong), per(~strong)
     return np.stack([
-        np.log1p(sizes), sum_strong / n, np.minimum(sum_strong, 20), np.minimum(np.bincount(pairs >> 16, minlength=len(texts)), 10), sum_weak / n, np.minimum(sum_weak, 20), per(weight) / n, top,
-        per(near) / n, s(second) / n, s(flag(1)) / n, s(codes >> 15 & 15) / n, s(codes >> 19 & 15) / n, s(flag(2)) / n, np.minimum(s(flag(3)), 10), s(flag(4)) / n,
+        np.log1p(sizes), sum_strong / n, sum_strong, np.bincount(pairs >> 32, minlength=len(texts)), sum_weak / n, sum_weak, per(weight) / n, top,
+        per(near) / n, s(flag(0)) / n, s(flag(1)) / n, s(table_[:, 2]) / n, s(table_[:, 3]) / n, s(flag(2)) / n, s(flag(3)), s(flag(4)) / n,
     ], 1)
 
 
@@ -112,8 +110,8 @@ class ToxicityModel:
     def __post_init__(self):
         self.version = digest(self.lexicon)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
+    def score(self, texts: pa.Array) -> np.ndarray:
+        if not len(texts):
             return np.zeros(0)
         x = features(texts, self.lexicon, self.version)
         if self.trees is None:  # labels of one class only: the share of listed words decides
@@ -144,13 +142,17 @@ def _unit_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], ["fold", "unit", "bad", "n"])
 
 
-def mine_lexicon(sample: DataFrame, most_units: int, least: int = 3) -> dict[int, dict[str, float]]:
-    """Units by fold (0, 1) and over both (-1), weighted by smoothed log odds against clean documents."""
+def mine_lexicon(sample: DataFrame, least: int = 3) -> dict[int, dict[str, float]]:
+    """Units by fold (0, 1) and over both (-1), weighted by smoothed log odds against clean documents.
+
+    All units count that `least` toxic texts of the sample have, and a quarter of whose texts are toxic: as many as the
+    bounded sample of labelled rows gives.
+    """
     totals = {r[0]: (r[1], r[2]) for r in sample.groupBy("fold").agg(F.sum("toxic"), F.count("*")).collect()}
     counts = sample.select("fold", "toxic", "text").mapInArrow(_unit_counts, "fold int, unit string, bad bigint, n bigint")
     per = counts.groupBy("unit").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in (0, 1) for c in ("bad", "n")])
     both = per.withColumn("bad", F.col("bad0") + F.col("bad1")).withColumn("n", F.col("n0") + F.col("n1"))
-    rows = both.filter((F.col("bad") >= least) & (F.col("bad") * 4 >= F.col("n"))).orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), "unit").limit(most_units).collect()
+    rows = both.filter((F.col("bad") >= least) & (F.col("bad") * 4 >= F.col("n"))).collect()
     out: dict[int, dict[str, float]] = {}
     for f, pick in ((0, lambda r: (r.bad0, r.n0)), (1, lambda r: (r.bad1, r.n1)), (-1, lambda r: (r.bad, r.n))):
         tox = sum(totals[k][0] for k in totals if f in (-1, k))
@@ -166,8 +168,8 @@ def mine_lexicon(sample: DataFrame, most_units: int, least: int = 3) -> dict[int
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_units: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows: about max_rows by the id's hash, at most max_units lexicon units.
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> ToxicityModel:
+    """Fit on a bounded sample of labelled rows: about max_rows by the id's hash.
 
     The lexicon is mined on one half for the features of the other, so that its densities on training
     rows aren't flattered. The trees' scores are calibrated on rows that those trees didn't see.
@@ -176,19 +178,21 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_un
     want = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     want = bounded_sample(want, "id", max_rows).groupBy("id").agg(F.max("toxic").alias("toxic"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(want), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)).cast("int")).persist()  # at most about max_rows texts
+    sample = texts.join(F.broadcast(want), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)).cast("int"))
+    # At most about max_rows texts, spread over all tasks: they may come from a few splits of the table.
+    sample = sample.repartition(documents.sparkSession.sparkContext.defaultParallelism, "id").persist()
     try:
-        lexicons = mine_lexicon(sample, max_units)
+        lexicons = mine_lexicon(sample)
         names = {f: digest(lexicons[f]) for f in lexicons}
 
         def vectors(batches):
             for batch in batches:
                 fold = np.array(batch.column("fold").to_pylist(), int)
                 out = np.zeros((len(fold), len(FEATURES)))
-                texts = [x or "" for x in batch.column("text").to_pylist()]
+                texts = batch.column("text").fill_null("")
                 for f in (0, 1):
                     if (at := np.flatnonzero(fold == f)).size:
-                        out[at] = features([texts[i] for i in at], lexicons[1 - f], names[1 - f])
+                        out[at] = np.concatenate([features(part, lexicons[1 - f], names[1 - f]) for part in array_slices(texts.take(pa.array(at)))])
                 yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("toxic"), pa.array(fold, pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], ["id", "toxic", "fold", "x"])
 
         got = sample.select("id", "toxic", "fold", "text").mapInArrow(vectors, "id string, toxic int, fold int, x array<double>").toArrow().sort_by([("id", "ascending")])
@@ -212,7 +216,7 @@ def scorer(model: ToxicityModel):
 
     @arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        parts = [model.score(rows) for _, rows in text_slices(texts)]
+        parts = [model.score(part) for part in array_slices(texts)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return toxicity

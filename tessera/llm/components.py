@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
+def _lows(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour of each node, combined before it is shuffled, however many neighbours a hub has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-    return low.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = edges.select("u", "v").filter("v > u").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).filter("v > u"))
+    return low.join(_lows(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = low.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    linked = low.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    lows = _lows(low)
+    linked = low.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v")))
     return linked.filter("u > v").distinct()
 
 

@@ -4,15 +4,14 @@ Words are runs without white space, lower-cased and stripped of punctuation at t
 text's shingles are its runs of `SHINGLE` words (all its words where it has fewer). PERMS
 multiply-shift minima make the signature. Texts of equal signature are one node. Nodes that share a
 band are compared by whole signatures and joined where at least `threshold` of the minima agree;
-groups are the connected components, found by alternating large-star and small-star.
+groups are the connected components of all verified pairs, found by alternating large-star and small-star.
 
-Within a band's bucket the verified graph is walked breadth first: each visited signature is held
-against all that are still unvisited, which gives exactly the components of the all-pairs graph
-without making all pairs, so copies by the thousand cost one comparison each.
+Components are made without making all pairs (see _edges): copies by the thousand cost one comparison each.
 
-Defined results: a null text, or one without words, is in no group (its own only); rows of one id
-are one node: they join all groups that any of them is in. A null id is dropped. An empty table
-gives an empty result. Only the named columns are read, so others may have any name.
+Defined results: a null text, or one without words, is in no group (its own only). Ids may repeat: a
+group is one of texts, so rows of one id with unlike texts are in unlike groups, and no text goes for
+its id's sake. groups() drops null ids, deduplicate() compares their rows like others. An empty table gives
+an empty result. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -22,14 +21,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Recent, Scratch, starts_of, table, text_slices
+from .common import Recent, Scratch, array_slices, starts_of, table, tokenized
 from .components import components
 
 PERMS, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
+CHUNK = 4096  # members of a bucket that are compared in one group
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,12 +46,10 @@ def _word_hash(raw: str) -> int:
 _words = Recent(_word_hash)
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Mixed shingle hashes of all texts in a row, and each text's offsets."""
-    of = _words.__getitem__
-    tokens = [x.split() for x in texts]
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    word = np.fromiter((h for row in tokens for h in map(of, row)), np.uint64, int(sizes.sum()))
+    distinct, index, sizes = tokenized(texts)
+    word = np.fromiter(map(_words.__getitem__, distinct), np.uint64, len(distinct))[index]
     doc = np.repeat(np.arange(len(texts)), sizes)[word > 0]
     word = word[word > 0]
     n = np.bincount(doc, minlength=len(texts))
@@ -68,8 +66,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out ^ (out >> np.uint64(27)), starts_of(made)
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """[texts, PERMS] minima as uint32, and which texts have any word."""
+def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """[texts, PERMS] minima as uint32, and which texts have any word; no text is null."""
     x, at = shingles(texts)
     n = np.diff(at)
     some = n > 0
@@ -97,8 +95,8 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signature(texts: pa.Array) -> pa.Array:
     sig: list[bytes | None] = []
-    for _, rows in text_slices(texts):
-        got, some = signatures(rows)
+    for part in array_slices(texts):
+        got, some = signatures(part)
         sig += [r.tobytes() if s else None for r, s in zip(got, some)]
     dg = [hashlib.md5(s).digest() if s else None for s in sig]
     return pa.StructArray.from_arrays([pa.array(sig, pa.binary()), pa.array(dg, pa.binary())], ["sig", "dg"])
@@ -109,16 +107,33 @@ def signature(text):
     return arrow_udf(_signature, "struct<sig: binary, dg: binary>")(text)
 
 
+def _agree(u: pa.Array, v: pa.Array) -> np.ndarray:
+    """How many minima the signatures in two columns share, row by row."""
+    sig = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, PERMS)
+    return (sig(u) == sig(v)).sum(1)
+
+
+def _held(threshold: float):
+    """The pairs with whether their signatures agree."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                b = batch.slice(k, 4096)
+                near = pa.array(_agree(b.column("su"), b.column("sv")) >= threshold * PERMS)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("least", "node", "u", "v")), near], ["least", "node", "u", "v", "near"])
+
+    return run
+
+
 def _walk(threshold: float):
-    """Edges of a spanning forest of each bucket's verified graph."""
+    """Edges of a spanning forest of each group's verified graph."""
 
     def walk(batches):
         for batch in batches:
             us: list[bytes] = []
             vs: list[bytes] = []
             for members in batch.column("members").to_pylist():
-                if len(members) < 2:
-                    continue
                 dg = [m["dg"] for m in members]
                 sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(len(members), PERMS)
                 left = np.arange(len(members))
@@ -127,10 +142,10 @@ def _walk(threshold: float):
                     while queue and len(left):
                         at = queue.pop()
                         near = (sig[left] == sig[at]).sum(1) >= threshold * PERMS
-                        for i in left[near]:
-                            us.append(dg[at])
-                            vs.append(dg[i])
-                            queue.append(int(i))
+                        found = left[near].tolist()
+                        us += [dg[at]] * len(found)
+                        vs += [dg[i] for i in found]
+                        queue += found
                         left = left[~near]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
@@ -138,42 +153,74 @@ def _walk(threshold: float):
 
 
 def _signed(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows with their struct s of signature() taken apart, written; node: 8 bytes of the digest, enough to bring candidates together; the digest itself decides."""
+    """The rows with their struct s of signature() taken apart, written."""
     rest = [c for c in rows.columns if c != "s"]
-    return scratch.table(rows.select(*rest, F.col("s.sig").alias("sig"), F.col("s.dg").alias("dg"), F.xxhash64("s.dg").alias("node")), "signatures")
+    return scratch.table(rows.select(*rest, F.col("s.sig").alias("sig"), F.col("s.dg").alias("dg")), "signatures")
 
 
-def _roots(sigs: DataFrame, threshold: float, scratch: Scratch, ties: DataFrame | None = None) -> DataFrame:
-    """(node, root), both digests, for all in a group but its root; ties: further edges (u, v) of digests."""
+def _edges(sigs: DataFrame, threshold: float, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): verified pairs of digests that hold each group together, each once, u > v; written.
+
+    Each member of a band's bucket is held against the bucket's least node. A bucket all of whose members agree with it is
+    done, so are those of near copies, whatever their number. In the others all pairs are compared, since their verified
+    graph may hang together by other members. That is done in groups of at most about `chunk` members: a larger
+    bucket is cut in parts by the node, and each two of its parts make a group, so that no group grows with the bucket and
+    no pair is left out. A set that meets in many bands is walked once. node: 8 bytes of a digest, enough to bring
+    candidates together; the digest itself decides.
+    """
     worded = sigs.filter(F.col("sig").isNotNull())
+    nodes = scratch.table(worded.groupBy(F.xxhash64("dg").alias("node"), "dg").agg(F.first("sig").alias("sig")), "nodes")
     width = 4 * PERMS // BANDS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
-    buckets = worded.select("node", F.explode(bands).alias("band")).groupBy("band").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
-    # Copies meet in many bands: each set of nodes is walked once.
-    sets = buckets.select(F.array_sort("nodes").alias("nodes")).distinct()
-    asked = scratch.table(sets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")), "buckets")
-    wanted = worded.select("node", "dg", "sig").join(asked.select("node").distinct(), "node", "left_semi").groupBy("node", "dg").agg(F.first("sig").alias("sig"))
-    full = asked.join(wanted, "node").groupBy("bucket").agg(F.collect_list(F.struct("dg", "sig")).alias("members"))
-    edges = full.select("members").mapInArrow(_walk(threshold), "u binary, v binary")
-    roots = scratch.table(components(edges.union(ties) if ties is not None else edges, scratch), "roots")
-    scratch.drop("buckets")
-    return roots
+    banded = nodes.select("node", F.explode(bands).alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    met = scratch.table(banded.join(buckets, "band").select("band", "n", "least", "node"), "met")
+    wanted = scratch.table(nodes.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    side = lambda key, name: wanted.select(F.col("node").alias(key), F.col("dg").alias(name), F.col("sig").alias("s" + name))
+    pairs = met.filter("node <> least").select("least", "node").distinct()
+    pairs = pairs.join(side("node", "v"), "node").join(side("least", "u"), "least").select("least", "node", "u", "v", "su", "sv")
+    held = scratch.table(pairs.mapInArrow(_held(threshold), "least bigint, node bigint, u binary, v binary, near boolean"), "held")
+    far = held.filter("not near").select("least", "node").distinct()
+    mixed = met.join(far, ["least", "node"], "left_semi").select("band").distinct()
+    unsure = met.join(mixed, "band", "left_semi")
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}")
+    once = unsure.groupBy("band", "least", "n").agg(mark(1), mark(2)).groupBy("least", "n", "m1", "m2").agg(F.min("band").alias("band")).select("band")
+    parts = F.when(F.col("n") > chunk, F.ceil(2 * F.col("n") / chunk)).otherwise(F.lit(1)).cast("int")
+    asked = unsure.join(once, "band", "left_semi").select("band", "node", parts.alias("parts"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("part", i).alias("a"), F.greatest("part", i).alias("b")))
+    grouped = asked.select("band", "node", F.explode(each).alias("two")).join(wanted, "node")
+    full = grouped.groupBy("band", "two").agg(F.collect_list(F.struct("dg", "sig")).alias("members"))  # about `chunk` members
+    walked = full.select("members").mapInArrow(_walk(threshold), "u binary, v binary")
+    both = held.filter("near").select("u", "v").union(walked)
+    edges = scratch.table(both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    for name in ("nodes", "met", "wanted", "held"):
+        scratch.drop(name)
+    return edges
 
 
 def groups(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(id, group_id, keep): one row for each distinct id; group_id is the least id of its group, which is kept."""
-    spark = documents.sparkSession
-    scratch = scratch or Scratch(spark, "minhash")
+    """(id, group_id, keep, links): a row for each id and each text of its own, but for texts of one signature.
+
+    group_id is the least id of the group. keep is 1 for one row of a group, that of the least id, of these of the least
+    signature. links counts the other rows of the same signature, and the verified links of the text to other signatures
+    that hold its group together.
+    """
+    scratch = scratch or Scratch(documents.sparkSession, "minhash")
     rows = documents.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).filter(F.col("id").isNotNull())
     sigs = _signed(rows, scratch)
-    # Rows of one id with different texts tie their nodes together.
-    many = sigs.filter(F.col("sig").isNotNull()).groupBy("id").agg(F.min("dg").alias("u"), F.max("dg").alias("top"), F.collect_set("dg").alias("dgs")).filter("u <> top")
-    roots = _roots(sigs, threshold, scratch, many.select("u", F.explode("dgs").alias("v")))
-    one = sigs.groupBy("id").agg(F.min("dg").alias("dg"))
-    placed = one.join(roots, one.dg == roots.node, "left").select("id", F.coalesce("root", "dg").alias("root"))
-    least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    out = placed.join(least, "root", "left").select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"))
-    return out.withColumn("keep", (F.col(id_col) == F.col("group_id")).cast("int"))
+    edges = _edges(sigs, threshold, scratch)
+    roots = scratch.table(components(edges, scratch), "roots")
+    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("others"))
+    one = sigs.select("id", "dg").distinct()
+    linked = degree.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "others")
+    placed = one.join(linked, one.dg == linked.node, "left").select("id", "dg", F.coalesce("root", "dg").alias("root"), F.coalesce("others", F.lit(0)).alias("others"))
+    copies = placed.groupBy("root", "dg").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter(F.col("dg").isNotNull())
+    first = copies.groupBy("root").agg(F.min(F.struct("id", "dg")).alias("kept"), F.sum("n").alias("size")).filter("size > 1")
+    of = copies.join(first, "root").select(F.col("dg").alias("c_dg"), "kept", "n")
+    out = placed.join(of, placed.dg == of.c_dg, "left")
+    keep = F.col("kept").isNull() | ((F.col("id") == F.col("kept.id")) & (F.col("dg") == F.col("kept.dg")))
+    return out.select(F.col("id").alias(id_col), F.coalesce("kept.id", "id").alias("group_id"), keep.cast("int").alias("keep"), (F.col("others") + F.coalesce(F.col("n") - 1, F.lit(0))).alias("links"))
 
 
 def clusters(rows: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
@@ -181,24 +228,47 @@ def clusters(rows: DataFrame, text_col: str = "text", threshold: float = THRESHO
     scratch = scratch or Scratch(rows.sparkSession, "clusters")
     rest = [c for c in rows.columns if c != text_col]
     sigs = _signed(rows.select(*rest, signature(F.col(text_col)).alias("s")), scratch)
-    roots = _roots(sigs, threshold, scratch).select(F.col("node").alias("_node"), "root")
-    return sigs.join(roots, F.col("dg") == F.col("_node"), "left").select(*rest, F.hex(F.coalesce("root", "dg")).alias("cluster"))
+    roots = scratch.table(components(_edges(sigs, threshold, scratch), scratch), "roots")
+    return sigs.join(roots, sigs.dg == roots.node, "left").select(*rest, F.hex(F.coalesce("root", "dg")).alias("cluster"))
 
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those that aren't kept; of rows with one id one stays, those with a null id all.
+    """The documents, all columns, without all but one row of each near-duplicate group.
 
-    The ids to drop are anti-joined; Spark broadcasts them only where their size allows it.
+    Rows are told apart by id and text, so that a group keeps one of its texts whatever ids repeat: the row of the least id,
+    a null id being last, of these of the least signature, then of the least text hash; of rows equal in id and text the one of
+    the least hash over all columns. Texts without words are in no group: all their rows stay.
     """
-    away = groups(documents, threshold, id_col, text_col).filter("keep = 0").select(F.col(id_col).alias("_away"))
-    again = documents.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(F.col(id_col).alias("_again"))
-    kept = documents.join(away, F.col(id_col) == F.col("_away"), "left_anti")
-    if again.isEmpty():
+    scratch = Scratch(documents.sparkSession, "dedup")
+    text = F.col(f"`{text_col}`")
+    told = lambda: F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h1"), F.crc32(text.cast("binary")).alias("h2"))
+    sigs = _signed(documents.select(told().alias("row"), signature(text).alias("s")), scratch)
+    roots = scratch.table(components(_edges(sigs, threshold, scratch), scratch), "roots")
+    worded = sigs.filter(F.col("dg").isNotNull()).groupBy("row", "dg").agg(F.count("*").alias("n"))
+    placed = worded.join(roots, worded.dg == roots.node, "left").select("row", "n", "dg", F.coalesce("root", "dg").alias("root"))
+    order = F.struct(F.col("row.id").isNull().alias("last"), F.col("row.id").alias("id"), F.col("dg").alias("dg"), F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2"))
+    best = placed.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("size"))
+    judged = placed.join(best, "root").withColumn("away", ~order.eqNullSafe(F.col("kept")))
+    verdicts = scratch.table(judged.filter("away or n > 1").select("row", "away"), "verdicts")
+    names = documents.columns
+    key, whole = _unused("row", names), [F.col(f"`{c}`") for c in names]
+    away, again = (verdicts.filter(c).select(F.col("row").alias(_unused("of", [*names, key]))) for c in ("away", "not away"))
+    rows = documents.withColumn(key, told())
+    same = lambda side: F.col(f"`{key}`").eqNullSafe(F.col(side.columns[0]))
+    kept = rows.join(verdicts.select(F.col("row").alias(away.columns[0])), same(away), "left_anti").select(*whole)
+    if again.isEmpty():  # no row repeats, and the second read of the documents would find none
         return kept
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in documents.columns]))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    one = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*names)
-    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(one)
+    held, least = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(whole)]), F.xxhash64(*[c.cast("string") for c in whole])
+    one = rows.join(again, same(again), "left_semi").groupBy(key).agg(F.min_by(held, least).alias("held"))
+    return kept.unionByName(one.select(*[F.col(f"held.c{k}").alias(c) for k, c in enumerate(names)]))
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    """A column name like `name` that none of those taken is, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

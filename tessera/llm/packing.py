@@ -7,8 +7,9 @@ the tightest residual that fits to its successors until a bin shares neither wit
 Only clusters of two or more members have a bit, since others can't conflict. The query's clusters
 are the groups of near copies that minhash finds; a text without words forms one with its equals.
 
-Bins never cross shards. A shard is a slice of the documents by the id's hash, its number follows
-the count of documents, and every shard is packed whole in one task, so conflicts are exact.
+Bins never cross shards. A shard is a slice of the documents by the id's hash (of what else it has where the id is
+null), packed whole in one task, so conflicts are exact. Their number is a parameter; like that of any shuffle it is by default
+what the session sets in spark.sql.shuffle.partitions.
 
 Defined results: a null or empty text has no tokens and is in no bin; a null source or cluster
 conflicts with none; a null id is packed like others; equal rows are packed each, one to a bin, as
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from . import minhash
 from .common import table
 
-CAPACITY, PER_SHARD = 2048, 40_000
+CAPACITY = 2048
+#: Share of minima from which the pipeline keeps two texts apart that its near-duplicate stage let both stay.
+RELATED = 0.3
 TOKEN = r"[^\s\p{P}]+|\p{P}"
 
 
@@ -121,7 +124,7 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokens: Column | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokens: Column | None = None) -> DataFrame:
     """(shard, bin, id, bin_offset, doc_offset, length): where each piece of each document lies.
 
     tokens: the length of a row's document, by default its words and punctuation marks. cluster_col: its
@@ -132,22 +135,20 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_shard: in
     rows = documents.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), (tokens if tokens is not None else count_tokens(text)).cast("bigint").alias("tokens"),
     ).filter("tokens > 0")
-    shards = max(1, -(-documents.count() // per_shard))
-    rows = rows.select(
-        F.pmod(F.xxhash64(F.lit(3), F.col("id").cast("string")), F.lit(shards)).alias("shard"), "id", "source", "cluster", "tokens", (F.col("tokens") % capacity).alias("rest"),
-        F.col("id").alias("order"),
-    )
+    shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.when(F.col("id").isNotNull(), F.xxhash64(F.lit(3), F.col("id").cast("string"))).otherwise(F.xxhash64("source", "cluster", "tokens"))
+    rows = rows.select(F.pmod(key, F.lit(shards)).alias("shard"), "id", "source", "cluster", "tokens", (F.col("tokens") % capacity).alias("rest"), F.col("id").alias("order"))
     kind = documents.schema[id_col].dataType.simpleString()
     got = rows.groupBy("shard").applyInArrow(_pack_shard(capacity), f"shard bigint, bin bigint, id {kind}, bin_offset bigint, doc_offset bigint, length bigint")
     return got.withColumnRenamed("id", id_col)
 
 
-def near_clusters(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def near_clusters(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", threshold: float = minhash.THRESHOLD) -> DataFrame:
     """(id, source, tokens, cluster): near copies have one cluster, and so have texts without words that are equal but for case and white space."""
     text = F.col(text_col)
     bare = F.when(~text.rlike(r"[\p{L}\p{N}]"), plain_hash(text))
     rows = documents.select(F.col(id_col), F.col(source_col), text, count_tokens(text).alias("tokens"), bare.alias("bare"))
-    return minhash.clusters(rows, text_col).select(id_col, source_col, "tokens", F.coalesce("cluster", "bare").alias("cluster"))
+    return minhash.clusters(rows, text_col, threshold).select(id_col, source_col, "tokens", F.coalesce("cluster", "bare").alias("cluster"))
 
 
 def op3_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,10 +69,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     """(id, url, fetched, blocked, list, pattern) for each capture.
 
     The join is on the key alone, with the interval as residue, so Spark may broadcast the list where
-    its size allows it and shuffle by key where not. Only hits are grouped and joined back.
+    its size allows it and shuffle by key where not. Captures themselves aren't shuffled before it; repeated
+    ones meet in the grouping of the hits. Only hits are grouped and joined back.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("fetched"))
-    asked = rows.filter(F.col("fetched").isNotNull()).distinct().select("id", "url", "fetched", F.explode(keys(F.col("url"))).alias("pattern"))
+    asked = rows.filter(F.col("fetched").isNotNull()).select("id", "url", "fetched", F.explode(keys(F.col("url"))).alias("pattern"))
     spans = intervals(entries)
     hits = asked.join(spans, (asked.pattern == spans.pattern) & (asked.fetched >= spans.valid_from) & (spans.valid_to.isNull() | (asked.fetched < spans.valid_to))).select("id", "url", "fetched", spans.pattern, "list")
     best = hits.select(F.col("id").alias("h_id"), F.col("url").alias("h_url"), F.col("fetched").alias("h_day"), "pattern", "list").groupBy("h_id", "h_url", "h_day").agg(F.min(F.struct((-F.length("pattern")).alias("length"), "pattern", "list")).alias("m"))

@@ -31,16 +31,17 @@ _MIX = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8
 _LETTER: list[np.ndarray] = []
 
 
+def _letter(point: int) -> int:
+    """A letter's code in lower case, or 0 for what isn't a letter, such as an emoji."""
+    c = chr(point)
+    low = c.lower()
+    return 0 if not c.isalpha() else ord(low) if len(low) == 1 else point
+
+
 def _letters() -> np.ndarray:
-    """By code point under 65536: its lower-case letter's code, or 0 for what isn't a letter."""
+    """_letter of the code points under 65536."""
     if not _LETTER:
-        out = np.zeros(65536, np.uint32)
-        for i in range(65536):
-            c = chr(i)
-            if c.isalpha():
-                low = c.lower()
-                out[i] = ord(low[0]) if len(low) == 1 else i
-        _LETTER.append(out)
+        _LETTER.append(np.array([_letter(i) for i in range(65536)], np.uint32))
     return _LETTER[0]
 
 
@@ -51,7 +52,10 @@ def ranked(texts: list[str], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(points < 65536, _letters()[points & np.uint32(65535)], points).astype(np.uint32)
+    code = _letters()[points & np.uint32(65535)]
+    if (far := np.flatnonzero(points >= 65536)).size:  # beyond the table, few distinct ones
+        seen, place = np.unique(points[far], return_inverse=True)
+        code[far] = np.array([_letter(int(i)) for i in seen], np.uint32)[place]
     doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
     keep = code > 0
     # Word by word, as a word that ends a text has no blank after it to mark its end.

@@ -23,13 +23,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id."""
+    """One document of each near-duplicate group stays, that of the least id; a text doesn't go for its id's sake."""
     return minhash.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
-    return packing.pack_documents(docs)
+    """Where each piece of each document lies in the packed sequences.
+
+    Near copies are gone by now: its clusters are of texts that share less, which stay but in sequences apart.
+    """
+    related = packing.near_clusters(docs, threshold=packing.RELATED)
+    return packing.pack_documents(related, cluster_col="cluster", tokens=F.col("tokens"))
 
 
 STAGES = [("toxicity", toxicity), ("language_id", language_id), ("near_dedup", near_dedup), ("packing", pack)]

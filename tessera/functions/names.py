@@ -8,6 +8,8 @@ import sys
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.security import SECRET_WORDS
+
 DEV_FOLDERS = "benchmarks doc docs example examples".split()
 FIXTURE_FOLDERS = "_vendor data extern fixtures golden snapshots test_data testdata third_party thirdparty vendor vendored".split()
 #: Last parts of decorators that hand a definition to a framework.
@@ -144,6 +146,17 @@ def looks_like_code(body: Column) -> Column:
     return (F.octet_length(body) >= 3) & ~body.rlike("(?i)" + _starts(DIRECTIVES)) & ~prose & code
 
 
+def halstead_volume(words: Column) -> Column:
+    """Length times the logarithm of the vocabulary; 0 for fewer than two kinds of words."""
+    kinds = F.size(F.array_distinct(words))
+    return F.when(kinds > 1, F.size(words) * F.log2(kinds.cast("double"))).otherwise(0.0)
+
+
+def secret_mentions(text: Column) -> Column:
+    """How often a text has one of the words that mark names of secrets."""
+    return F.regexp_count(F.lower(text), F.lit("(" + "|".join(SECRET_WORDS) + ")"))
+
+
 def maintainability(volume: Column, cyclomatic: Column, sloc: Column) -> Column:
     """0 to 100, unrounded; each part counts as 1 at least."""
     one = lambda c: F.greatest(c.cast("double"), F.lit(1.0))

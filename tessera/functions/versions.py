@@ -6,7 +6,8 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 _RELEASE = re.compile(r"(?:(\d+)!)?([0-9.]+)(.*)", re.DOTALL)
@@ -105,16 +106,89 @@ def from_poetry(spec: str) -> str:
     return f">={low},<{'.'.join(map(str, top))}"
 
 
-def _pairwise(test, a: Column | str, b: Column | str) -> Column:
-    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else test(x, y) for x, y in zip(xs.to_pylist(), ys.to_pylist())], pa.bool_())
+_TOP = 2**63 - 1
+_KEY = "epoch: bigint, trimmed: array<bigint>, phase: array<bigint>, release: array<bigint>"
+_NO_KEY = {"epoch": None, "trimmed": None, "phase": None, "release": None}
+
+
+def _key_row(key: tuple) -> dict:
+    """A key as columns that order as it does; numbers beyond 64 bits count as the largest."""
+    low = lambda xs: [min(x, _TOP) for x in xs]
+    return {"epoch": min(key[0], _TOP), "trimmed": low(ordered(key)[1]), "phase": low(key[2]), "release": low(key[1])}
+
+
+@lru_cache(65536)
+def _version_row(text: str) -> dict:
+    key = version_key(text)
+    return {"ok": key is not None} | (_key_row(key) if key else _NO_KEY)
+
+
+@lru_cache(65536)
+def _spec_rows(spec: str) -> list[dict]:
+    out = []
+    for part in filter(None, map(str.strip, spec.split(","))):
+        op, bound = _split(part)
+        star = op in ("==", "!=") and bound.endswith(".*")
+        key = version_key(re.sub(r"(\.\*)+$", "", bound) if star else bound)
+        row = {"op": op, "star": star, "ok": key is not None} | (_key_row(key) if key else _NO_KEY)
+        if op == "~=" and key:
+            row["release"] = row["release"][:-1]
+        out.append(row)
+    return out
+
+
+def _each_distinct(parse, kind: str):
+    """A column function that parses every distinct text of a batch once."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        return pa.array([None if x is None else parse(x) for x in coded.dictionary.to_pylist()], arrow).take(coded.indices)
 
-    return arrow_udf(run, "boolean")(a, b)
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
 
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+    return arrow_udf(run, kind)
 
-def spec_matches(version: Column | str, spec: Column | str) -> Column:
-    return _pairwise(matches, version, spec)
+
+def parsed_version(version: Column | str) -> Column:
+    """struct(ok, epoch, trimmed, phase, release): the first three after ok order versions."""
+    return _each_distinct(_version_row, f"struct<ok: boolean, {_KEY}>")(version)
+
+
+def parsed_spec(spec: Column | str) -> Column:
+    """An array with a struct for each part of a spec."""
+    return _each_distinct(_spec_rows, f"array<struct<op: string, star: boolean, ok: boolean, {_KEY}>>")(spec)
+
+
+def satisfies(version: Column, spec: Column) -> Column:
+    """Whether a parsed version lies within a parsed spec: plain comparisons, without Python. Null if either is."""
+    key = lambda x: F.struct(x["epoch"].alias("e"), x["trimmed"].alias("r"), x["phase"].alias("p"))
+    starts = lambda head: F.slice(version["release"], 1, F.size(head)) == head
+
+    def holds(p: Column) -> Column:
+        a, b, op = key(version), key(p), p["op"]
+        plain = F.when(op == "==", a == b).when(op == "!=", a != b).when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b)
+        return p["ok"] & F.when(p["star"], starts(p["release"]) == (op == "==")).when(op == "~=", (a >= b) & starts(p["release"])).otherwise(plain)
+
+    return F.when(version.isNotNull() & spec.isNotNull(), version["ok"] & F.forall(spec, holds))
+
+
+def with_match(rows: DataFrame, version: str, spec: str, name: str) -> DataFrame:
+    """rows with a boolean column: whether the version lies within the spec."""
+    both = rows.withColumns({"_version": parsed_version(version), "_spec": parsed_spec(spec)})
+    return both.withColumn(name, satisfies(F.col("_version"), F.col("_spec"))).drop("_version", "_spec")
 
 
 def specs_intersect(a: Column | str, b: Column | str) -> Column:
-    return _pairwise(intersect, a, b)
+    """Whether two ranges meet, tried out near their bounds once for each distinct pair of a batch."""
+
+    @arrow_udf("boolean")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        tried: dict = {}
+        for pair in zip(xs.to_pylist(), ys.to_pylist()):
+            if pair not in tried:
+                tried[pair] = None if None in pair else intersect(*pair)
+        return pa.array([tried[p] for p in zip(xs.to_pylist(), ys.to_pylist())], pa.bool_())
+
+    return run(a, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,25 +12,39 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..scratch import Workspace
 from ..sources.facts import Facts
+from .components import components
+
+
+SMALL, HOPS, MERGE = 10_000, 8, 16  # a frontier that steps HOPS times in one job; folders that are merged into one
 
 
 def reach(edges: DataFrame, seeds: DataFrame, key: list[str], workspace: Workspace, src: str = "src", dst: str = "dst") -> DataFrame:
     """(key, node): nodes that paths from the seeds end in, the seeds included.
 
     A frontier at a time; each is written beside the earlier ones, so the plan stays short and what is
-    visited is one table. Rounds end with the longest shortest path. edges: key, src, dst. seeds: key, node.
+    visited is one table, merged now and then. A small frontier goes several steps in one job, since on long chains jobs
+    cost more than steps. edges: key, src, dst. seeds: key, node.
     """
     spark, root = edges.sparkSession, f"{workspace.root}/reach"
-    front = seeds.select(*key, "node").distinct()
-    schema, step = front.schema, 0
+    names, arrows = [*key, "node"], edges.select(*key, F.col(src).alias("node"), F.col(dst).alias("_to"))
+    front = seeds.select(*names).distinct()
+    schema, parts, step = front.schema, [], 0
+    read = lambda *paths: spark.read.schema(schema).parquet(*paths)
     while True:
         front.write.parquet(f"{root}/step={step:05d}")
-        last = spark.read.schema(schema).parquet(f"{root}/step={step:05d}")
-        seen = spark.read.schema(schema).parquet(*[f"{root}/step={k:05d}" for k in range(step + 1)])
-        if last.isEmpty():
-            return seen
-        ahead = edges.select(*key, F.col(src).alias("node"), F.col(dst).alias("_to")).join(last, [*key, "node"], "left_semi")
-        front, step = ahead.select(*key, F.col("_to").alias("node")).distinct().join(seen, [*key, "node"], "left_anti"), step + 1
+        parts.append(f"{root}/step={step:05d}")
+        last = read(parts[-1])
+        n = last.count()
+        if not n:
+            return read(*parts)
+        if len(parts) >= MERGE:
+            read(*parts).write.parquet(f"{root}/merged={step:05d}")
+            parts = [f"{root}/merged={step:05d}"]
+        ahead, found = last, []
+        for _ in range(HOPS if n <= SMALL else 1):
+            ahead = arrows.join(ahead, names, "left_semi").select(*key, F.col("_to").alias("node")).distinct()
+            found.append(ahead)
+        front, step = reduce(DataFrame.union, found).distinct().join(read(*parts), names, "left_anti"), step + 1
 
 
 def tarjan(pairs: list[tuple]) -> list[list]:
@@ -73,16 +88,25 @@ def tarjan(pairs: list[tuple]) -> list[list]:
     return sorted(found)
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(project, members): import cycles. A project's edges that may lie on one are one task's work."""
+def cycles(edges: DataFrame, workspace: Workspace) -> DataFrame:
+    """(project, members): import cycles.
+
+    Only edges that have both an edge before and one after them may lie on one. A connected group of those is one
+    task's work, not a project.
+    """
     both = edges.select("project", F.col("src").alias("node")).intersect(edges.select("project", F.col("dst").alias("node")))
     inner = edges.join(both.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(both.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi")
+    inner = workspace.keep(inner.select("project", "src", "dst").distinct(), "inner")
+    node = lambda c: F.struct("project", F.col(c).alias("rel"))
+    roots = components(inner.select(node("src").alias("u"), node("dst").alias("v")), workspace)
+    roots = roots.select(F.col("node.project").alias("project"), F.col("node.rel").alias("src"), F.col("root.rel").alias("part"))
+    parted = inner.join(roots, ["project", "src"], "left").withColumn("part", F.coalesce("part", "src"))
 
     def run(t: pa.Table) -> pa.Table:
         groups = tarjan(list(zip(t.column("src").to_pylist(), t.column("dst").to_pylist())))
         return pa.table({"project": pa.array([t.column("project")[0].as_py()] * len(groups), pa.string()), "members": pa.array(groups, pa.list_(pa.string()))})
 
-    return inner.select("project", "src", "dst").groupBy("project").applyInArrow(run, "project string, members array<string>")
+    return parted.select("project", "part", "src", "dst").groupBy("project", "part").applyInArrow(run, "project string, members array<string>")
 
 
 @dataclass

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import names as N
 from ...functions.identity import occurrence
 from ..findings import draft, text
 from ..graph import cycles
+from ..relations import first_rows
 
 
 def _dotted_edges(a) -> DataFrame:
@@ -24,25 +25,38 @@ def _dotted_edges(a) -> DataFrame:
 
 def circular(a) -> DataFrame:
     """One finding for each import cycle, at its first file."""
-    c = cycles(a.graph.edges.filter("not lazy"))
+    c = cycles(a.graph.edges.filter("not lazy"), a.workspace)
     names = a.graph.modules.select("project", F.col("rel").alias("member"), "dotted")
     one = c.select("project", F.col("members")[0].alias("rel"), F.explode("members").alias("member")).join(names, ["project", "member"])
     one = one.groupBy("project", "rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "dotted"))), lambda x: x["dotted"]).alias("names"))
     return draft(one, "circular-dependency", "circular-dependency", "certain", text("import cycle: {}", F.array_join("names", " -> ")), [F.array_join("names", "\x1f")], "break-cycle", F.lit("Move what they share into a module of its own"), line=F.lit(1))
 
 
+def upward(edges: DataFrame, order: list[str]) -> DataFrame:
+    """Edges (importer, imported, ..) from a lower layer up, with both layers' places low and high in the order.
+
+    A name's layer is the first configured one among its parts.
+    """
+    at = lambda c: reduce(lambda rest, k: F.when(F.array_contains(F.split(c, r"\."), order[k]), F.lit(k)).otherwise(rest), reversed(range(len(order))), F.lit(None).cast("int"))
+    return edges.withColumn("low", at(F.col("importer"))).withColumn("high", at(F.col("imported"))).filter("high < low")
+
+
 def layers(a) -> DataFrame | None:
-    """Imports from a lower layer up. A module's layer is the first configured one among its name's parts."""
+    """Imports from a lower layer up."""
     order = a.config.layers
     if len(order) < 2:
         return None
-    at = lambda c: reduce(lambda rest, k: F.when(F.array_contains(F.split(c, r"\."), order[k]), F.lit(k)).otherwise(rest), reversed(range(len(order))), F.lit(None).cast("int"))
-    e = _dotted_edges(a).withColumn("low", at(F.col("importer"))).withColumn("high", at(F.col("imported"))).filter("high < low")
+    e = upward(_dotted_edges(a), order)
     name = F.array(*map(F.lit, order))
     why = text("`{}` ({}) imports `{}` of the higher layer {}", "importer", F.get(name, F.col("low")), "imported", F.get(name, F.col("high")))
     return draft(e, "layer-violation", "architecture", "certain", why, ["importer", "imported"], "respect-layers", F.lit("Turn the dependency around"), line=F.lit(1))
 
 
+def forbidden(edges: DataFrame, source: str, targets: list[str]) -> DataFrame:
+    """Edges from names under the source to names under any target."""
+    return edges.filter(N.under(F.col("importer"), F.lit(source)) & N.any_of(N.under(F.col("imported"), F.lit(t)) for t in targets))
+
+
 def contracts(a) -> DataFrame | None:
     """Forbidden imports, and imports between members of an independence group."""
     if not a.config.forbidden and not a.config.independent:
@@ -50,15 +64,13 @@ def contracts(a) -> DataFrame | None:
     e = _dotted_edges(a)
     found = []
     for source, targets in a.config.forbidden:
-        hit = e.filter(N.under(F.col("importer"), F.lit(source)) & N.any_of(N.under(F.col("imported"), F.lit(t)) for t in targets))
+        hit = forbidden(e, source, targets)
         found.append(hit.withColumn("rule", F.lit("forbidden-import")).withColumn("why", text("`{}` imports `{}`, which `{}` may not", "importer", "imported", F.lit(source))))
     for group in a.config.independent:
         first = lambda c, g=group: F.coalesce(*[F.when(N.under(c, F.lit(m)), m) for m in g], F.lit(None).cast("string"))
         hit = e.withColumn("x", first(F.col("importer"))).withColumn("y", first(F.col("imported"))).filter("x <> y")
         found.append(hit.withColumn("rule", F.lit("independence-violation")).withColumn("why", text("`{}` and `{}` must stay apart: `{}` imports `{}`", "x", "y", "importer", "imported")).drop("x", "y"))
-    rows = reduce(DataFrame.unionByName, found)
-    first = Window.partitionBy("project", "rule", "importer", "imported").orderBy("rel", "why")
-    rows = rows.withColumn("k", F.row_number().over(first)).filter("k = 1")
+    rows = first_rows(reduce(DataFrame.unionByName, found), ["project", "rule", "importer", "imported"], ["rel", "why"])
     return draft(rows, F.col("rule"), "architecture", "certain", F.col("why"), ["importer", "imported"], "respect-contract", F.lit("Remove the dependency, or turn it around"), line=F.lit(1))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import names as N
 from ...functions.identity import occurrence
 from ..findings import closest_key, draft, text
+from ..relations import conflicts, enclosing, innermost, unexecuted
 
 FILE = ["project", "rel"]
 CONTRACT = ["abstractmethod", "overload", "override"]
@@ -124,13 +125,12 @@ def bound_parameters(a) -> DataFrame:
     """(project, rel, ord) of unused parameters that an interface asks for."""
     p = a.facts.listed("scope_findings").filter("is_param").select(*FILE, "ord", F.col("line").alias("at"))
     members = a.facts.listed("classes").select(*FILE, F.col("ord").alias("class_ord"), F.col("line").alias("begin"), F.col("end_line").alias("finish"), F.posexplode("members").alias("nth", "m")).filter("m.is_method")
-    inside = p.join(members, FILE).filter("begin <= at and at <= finish and m.line <= at and at <= m.end_line")
-    last = Window.partitionBy(*FILE, "ord").orderBy(F.desc("m.line"), F.desc("class_ord"), F.desc("nth"))
-    method = inside.withColumn("k", F.row_number().over(last)).filter("k = 1").select(*FILE, "ord", "class_ord", F.col("m.name").alias("method"), F.col("m.decorators").alias("decorators"))
+    members = members.select(*FILE, "class_ord", "nth", F.greatest("begin", "m.line").alias("begin"), F.least("finish", "m.end_line").alias("finish"), F.col("m.line").alias("first"), F.col("m.name").alias("method"), F.col("m.decorators").alias("decorators"))
+    method = innermost(enclosing(p, members, FILE, "at", "begin", "finish"), [*FILE, "ord"], ["first", "class_ord", "nth"], ["class_ord", "method", "decorators"])
     own = N.is_dunder(F.col("method")) | F.exists("decorators", lambda d: N.last_segment(d).isin(CONTRACT))
     by_base = method.join(base_methods(a), [*FILE, "class_ord"]).filter(F.col("methods").isNull() | F.array_contains("methods", F.col("method")))
     functions = a.facts.listed("definitions").filter((F.col("kind") == "function") & (F.size("decorators") > 0)).select(*FILE, F.col("line").alias("begin"), F.col("end_line").alias("finish"))
-    free = p.join(method, [*FILE, "ord"], "left_anti").join(functions, FILE).filter("begin <= at and at <= finish")
+    free = enclosing(p.join(method, [*FILE, "ord"], "left_anti"), functions, FILE, "at", "begin", "finish")
     return method.filter(own).select(*FILE, "ord").unionByName(by_base.select(*FILE, "ord")).unionByName(free.select(*FILE, "ord")).distinct()
 
 
@@ -152,8 +152,7 @@ def duplicate_exports(a) -> DataFrame:
     i = a.graph.imports.filter("not lazy and not is_star").filter(N.is_package(F.col("rel")))
     i = i.join(a.graph.modules.filter("not sink").select(*FILE), FILE, "left_semi")
     b = i.select(*FILE, "ord", "line", "module", F.posexplode("bindings").alias("at", "name"))
-    first = F.first("module").over(Window.partitionBy(*FILE, "name").orderBy("ord", "at"))
-    b = b.withColumn("first", first).filter("module <> first").withColumn("nth", occurrence([*FILE, "name"], ["ord", "at"]))
+    b = conflicts(b, [*FILE, "name"], "module", ["ord", "at"]).withColumn("nth", occurrence([*FILE, "name"], ["ord", "at"]))
     return draft(b, "duplicate-export", "architecture", "likely", text("`{}` comes from {} here and from {} above, which it hides", "name", "module", "first"), ["rel", "name", "module", "nth"], "rename-export", text("Keep one source of `{}`", "name"))
 
 
@@ -192,8 +191,7 @@ def cold_code(a) -> DataFrame | None:
     if a.coverage is None:
         return None
     keys = closest_key(a.facts.records, "rel", a.coverage, "key")
-    ran = a.coverage.groupBy("project", "key").agg(F.collect_set("line").alias("ran"))
-    f = a.facts.listed("functions").withColumn("nth", occurrence([*FILE, "name"], ["ord"])).join(keys.join(ran, ["project", "key"]), FILE)
-    begin = F.when(F.col("line") >= F.col("end_line"), F.col("line")).otherwise(F.col("line") + 1)
-    cold = f.filter(~F.exists("ran", lambda x: x.between(begin, F.greatest("line", "end_line"))))
+    f = a.facts.listed("functions").withColumn("nth", occurrence([*FILE, "name"], ["ord"])).join(keys, FILE).withColumnRenamed("line", "first")
+    begin = F.when(F.col("first") >= F.col("end_line"), F.col("first")).otherwise(F.col("first") + 1)
+    cold = unexecuted(f, a.coverage, ["project", "key"], begin, F.greatest("first", "end_line")).withColumnRenamed("first", "line")
     return draft(cold, "cold-code", "dead-code", "likely", text("`{}` didn't run under coverage", "name"), ["rel", "name", "nth"], "review-function", text("Test `{}`, or remove it", "name"), end_line=F.col("end_line"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ...functions import names as N
 from ...functions.identity import occurrence
+from .. import relations
 from ..clones import clones
 from ..findings import closest_key, draft, text
+from ..relations import hot
 
 FILE = ["project", "rel"]
 LEAST_CHURN, LEAST_COMPLEXITY, LEAST_METHODS, COHESION = 3, 15, 3, 0.8
@@ -30,10 +32,9 @@ def hotspots(a) -> DataFrame | None:
     """Complex files that change often. a.churn: (project, path, commits)."""
     if a.churn is None:
         return None
-    size = a.facts.listed("functions").groupBy(*FILE).agg(F.sum("cyclomatic").alias("complexity")).filter(F.col("complexity") >= LEAST_COMPLEXITY)
-    keys = closest_key(size, "rel", a.churn, "path")
-    hot = size.join(keys, FILE).join(a.churn.groupBy("project", "path").agg(F.max("commits").alias("commits")), ["project", "path"]).filter(F.col("commits") >= LEAST_CHURN)
-    return draft(hot, "hotspot", "complexity", "likely", text("{} commits changed this file of complexity {}", "commits", "complexity"), ["rel"], "simplify-file", F.lit("Simplify what changes so often"), path="rel", line=F.lit(1))
+    size = a.facts.listed("functions").groupBy(*FILE).agg(F.sum("cyclomatic").alias("complexity"))
+    commits = closest_key(size, "rel", a.churn, "path").join(a.churn.groupBy("project", "path").agg(F.max("commits").alias("commits")), ["project", "path"]).drop("path")
+    return draft(hot(size, commits, FILE, LEAST_COMPLEXITY, LEAST_CHURN), "hotspot", "complexity", "likely", text("{} commits changed this file of complexity {}", "commits", "complexity"), ["rel"], "simplify-file", F.lit("Simplify what changes so often"), path="rel", line=F.lit(1))
 
 
 def cohesion(a) -> DataFrame:
@@ -51,7 +52,7 @@ def low_cohesion(a) -> DataFrame:
 
 
 def duplication(a) -> DataFrame:
-    c = clones(a.facts, a.config.min_tokens, a.config.min_lines)
+    c = clones(a.facts, a.workspace, a.config.min_tokens, a.config.min_lines)
     why = text("{} tokens occur in {} places: {}", "length", F.size("places"), F.array_join("places", ", "))
     return draft(c, "duplication", "duplication", "likely", why, ["hash", "length"], "extract-function", F.lit("Share one definition"), end_line=F.col("end_line"))
 
@@ -68,8 +69,8 @@ def census(a) -> DataFrame:
     top = F.split("dotted", r"\.")[0]
     files = a.graph.modules.select(*FILE, top.alias("top"), (F.col("is_package") & (F.col("dotted") == top)).alias("init"))
     anchor = files.groupBy("project", "top").agg(F.min_by("rel", F.struct(~F.col("init"), F.col("rel"))).alias("anchor"))
-    f = _public(a.facts.listed("functions")).join(files, FILE).groupBy("project", "top").agg(F.count("*").alias("total"), F.count_if(F.expr(BARE)).alias("untyped"))
-    return f.join(anchor, ["project", "top"]).withColumn("rolled", (F.col("total") >= ROLLUP_FUNCTIONS) & (F.col("untyped") >= ROLLUP_SHARE * F.col("total")))
+    f = relations.census(_public(a.facts.listed("functions")).join(files, FILE), ["project", "top"], F.expr(BARE), ROLLUP_FUNCTIONS, ROLLUP_SHARE)
+    return f.join(anchor, ["project", "top"])
 
 
 def untyped_functions(a) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.identity import occurrence
-from ...functions.versions import spec_matches, specs_intersect
+from ...functions.versions import specs_intersect, with_match
 from ..findings import draft, text
+from ..relations import first_rows
 
 DOUBTFUL = ["dangerous-eval", "insecure-random", "request-without-timeout", "sql-injection", "try-except-pass", "unsafe-deserialization"]
 CWE = {
@@ -42,8 +43,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def _report(rows: DataFrame, confidence, why: Column, key: str) -> DataFrame:
-    once = Window.partitionBy("project", "name", key, "alias").orderBy("source", "line", "seq")
-    rows = rows.withColumn("why", why).withColumn("k", F.row_number().over(once)).filter("k = 1")
+    rows = first_rows(rows.withColumn("why", why), ["project", "name", key, "alias"], ["source", "line", "seq"])
     return draft(rows, "vulnerable-dependency", "security", confidence, F.col("why"), ["name", key, "id"], "upgrade-dependency", text("Move `{}` out of what {} affects", "name", "id"), path="source")
 
 
@@ -52,7 +52,7 @@ def vulnerable_pins(a) -> DataFrame | None:
     if a.pins is None or a.advisories is None:
         return None
     keys = ["project", "name", "version", "source", "line", "seq", "id", "alias", "note"]
-    hit = _spread(_advised(a.pins, a.advisories)).filter((F.size("specs") == 0) | spec_matches("version", "affected")).select(*keys).distinct()
+    hit = with_match(_spread(_advised(a.pins, a.advisories)), "version", "affected", "within").filter((F.size("specs") == 0) | F.col("within")).select(*keys).distinct()
     return _report(hit, "certain", text("`{}` {} is affected by {}{}", "name", "version", "alias", "note"), "version")
 
 
@@ -67,9 +67,9 @@ def vulnerable_ranges(a) -> DataFrame | None:
     else:
         open_ = open_.withColumn("have", F.lit(None).cast("string"))
     keys = ["project", "name", "spec", "source", "line", "seq", "id", "alias", "note", "have", "key"]
-    rows = _spread(_advised(open_, a.advisories)).withColumn("key", F.coalesce("have", "spec"))
+    rows = with_match(_spread(_advised(open_, a.advisories)).withColumn("key", F.coalesce("have", "spec")), "have", "affected", "within")
     every = F.size("specs") == 0
-    meets = F.when(F.col("have").isNotNull(), every | spec_matches("have", "affected")).when(F.col("spec") == "", F.lit(True)).otherwise(~every & specs_intersect("spec", "affected"))
+    meets = F.when(F.col("have").isNotNull(), every | F.col("within")).when(F.col("spec") == "", F.lit(True)).otherwise(~every & specs_intersect("spec", "affected"))
     hit = rows.filter(meets).select(*keys).distinct()
     why = F.when(F.col("have").isNotNull(), text("installed `{}` {} is affected by {}{}", "name", "have", "alias", "note")).otherwise(text("what `{}` {} allows includes versions affected by {}{}", "name", "spec", "alias", "note"))
     return _report(hit, F.when(F.col("have").isNotNull(), "certain").otherwise("uncertain"), why, "key")

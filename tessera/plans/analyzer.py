@@ -7,11 +7,13 @@ against the fixture's text and the rule's definition, so they guard against chan
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import findings as Fi
 from ..operators.rules import ENGINES
 from ..sources import manifests
 from .corpus import LAB, LAB_ADVISORIES, LAB_CHURN, LAB_COVERAGE, SAMPLE
@@ -122,8 +124,11 @@ def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def engine_panic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Engines that failed; none should."""
-    return engine(spark, "lab").findings([e for e in ENGINES]).filter("rule = 'engine-panic'").select("fingerprint")
+    """One engine whose rule fails while it runs, beside one that doesn't: the finding that says so, and the other's."""
+    broken = lambda a: Fi.draft(a.graph.modules, "none", "none", "likely", F.raise_error(F.lit("broken on purpose")).cast("string"), ["rel"], "none", F.lit(""), line=F.lit(1))
+    e = copy.copy(engine(spark, "lab"))
+    e.engines = ENGINES | {"broken": ("none", [broken])}
+    return e.findings(["broken", "commented"]).select("rule", F.col("location.path").alias("path"), F.col("location.line").alias("line"), "severity")
 
 
 def trace_module(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +152,7 @@ ORACLES |= {
     "metrics_golden": "SELECT rel, CAST(mi AS DOUBLE) AS mi, m AS max_cyclomatic, CAST(t AS BIGINT) AS total_cyclomatic, CAST(s AS BIGINT) AS sloc FROM ("
     + values([("billing/__init__.py", 99.9, 0, 0, 1), ("billing/domain/__init__.py", 99.9, 0, 0, 1), ("billing/services/__init__.py", 99.9, 0, 0, 1), ("billing/app.py", 56.0, 1, 3, 14), ("billing/domain/money.py", 77.1, 1, 1, 3), ("billing/services/invoice.py", 57.1, 7, 7, 12), ("billing/services/ledger.py", 76.4, 1, 1, 3)], "rel, mi, m, t, s") + ")",
     "import_graph": values([("billing.app", "billing.domain.money"), ("billing.app", "billing.services.invoice"), ("billing.services.invoice", "billing.domain.money"), ("billing.services.invoice", "billing.services"), ("billing.services.invoice", "billing.services.ledger"), ("billing.services.ledger", "billing.services.invoice")], "importer, imported"),
-    "engine_panic": "SELECT '' AS fingerprint WHERE false",
+    "engine_panic": values([("engine-panic", "lab/__init__.py", 1, "error"), ("commented-code", M, 47, "warn")], "rule, path, line, severity"),
     "trace_module": values([("lab.core.model", "lab.store.disk lab.web.views other._impl", "lab lab.cli lab.core.rules")], "module, imports, imported_by"),
     "fix_plan": values([(R, 1, 1)], "path, start_line, end_line"),
 }

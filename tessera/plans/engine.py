@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import traceback
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -13,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import findings as Fi
 from ..operators.graph import Graph, build_graph
-from ..operators.rules import AUDIT, ENGINES, measures
+from ..operators.rules import AUDIT, ENGINES, dead_code, measures, risks
 from ..scratch import Workspace
 from ..sources import files, manifests
 from ..sources.facts import Facts, facts_of
 
+#: Where a project keeps its advisories, if it does.
+ADVISORIES = ".tessera/advisories.json"
 SIDES = {
     "declared": "project string, dist string, group string", "manifests": "project string, manifest string", "entry_points": "project string, module string, symbol string",
     "installed": "project string, top string, dist string, version string", "pins": "project string, name string, version string, source string, line int",
@@ -33,6 +37,7 @@ class Analysis:
     facts: Facts
     graph: Graph
     config: manifests.Config
+    workspace: Workspace
     declared: DataFrame | None = None
     manifests: DataFrame | None = None
     entry_symbols: DataFrame | None = None
@@ -52,6 +57,7 @@ class Engine:
     sides: dict[str, DataFrame] = field(default_factory=dict)
     testpaths: list[str] = field(default_factory=list)
     tool: str = "tessera"
+    engines: dict = field(default_factory=lambda: ENGINES)
 
     def __post_init__(self):
         self.workspace = Workspace(self.spark, "engine")
@@ -64,7 +70,22 @@ class Engine:
 
             where = entry_modules(graph.modules, points)
             symbols = where.join(points.filter("symbol <> ''"), ["project", "module"]).select("project", "dotted", F.col("symbol").alias("name")).distinct()
-        self.analysis = Analysis(facts, graph, self.config, entry_symbols=symbols, **{k: v for k, v in self.sides.items() if k != "entry_points"})
+        self.analysis = Analysis(facts, graph, self.config, self.workspace, entry_symbols=symbols, **{k: v for k, v in self.sides.items() if k != "entry_points"})
+
+    @classmethod
+    def over_facts(cls, spark: SparkSession, facts: Facts, workspace: Workspace, config: manifests.Config | None = None) -> Engine:
+        """Over facts that were extracted before, with nothing beside them."""
+        e = cls.__new__(cls)
+        e.spark, e.config, e.sides, e.testpaths, e.tool, e.engines, e.workspace = spark, config or manifests.Config(), {}, facts.testpaths, "tessera", ENGINES, workspace
+        e.analysis = Analysis(facts, build_graph(facts, workspace), e.config, workspace)
+        return e
+
+    @classmethod
+    def over_buffer(cls, spark: SparkSession, rel: str, src: str, config: manifests.Config | None = None) -> DataFrame:
+        """Findings of one text in memory by the rules that look at a single file: security, unused locals, complexity, comments."""
+        e = cls.over_files(spark, {rel: src}, config=config or manifests.Config())
+        e.engines = {"local": ("dead-code", [risks.security, dead_code.unused_locals, dead_code.commented_code, measures.complex_functions])}
+        return Fi.ordered(e.findings(["local"]))
 
     @classmethod
     def over_files(cls, spark: SparkSession, texts: dict[str, str], project: str = "", **more) -> Engine:
@@ -82,12 +103,13 @@ class Engine:
         base = Path(root)
         texts = {p.name: p.read_text(errors="replace") for p in base.iterdir() if p.is_file() and (p.suffix in (".toml", ".txt", ".lock") or p.name == ".tesserarc.json")}
         config = manifests.parse_config(texts.get(".tesserarc.json"))
-        rows = side_rows(texts) | {"installed": manifests.installed(root) or None, "churn": manifests.git_churn(root) or None if with_git else None}
+        rows = side_rows(texts) | {"installed": manifests.installed(root, os.environ.get("VIRTUAL_ENV")) or None, "churn": manifests.git_churn(root) or None if with_git else None}
         if coverage:
             rows["coverage"] = manifests.coverage(Path(coverage).read_text())
         sides = {k: spark.createDataFrame([("", *r) for r in got], SIDES[k]) for k, got in rows.items() if got is not None}
-        if advisories:
-            sides["advisories"] = spark.createDataFrame(manifests.advisories(Path(advisories).read_text()), SIDES["advisories"])
+        known = Path(advisories) if advisories else base / ADVISORIES
+        if advisories or known.is_file():
+            sides["advisories"] = spark.createDataFrame(manifests.advisories(known.read_text()), SIDES["advisories"])
         return cls(spark, files.read_project(spark, root, "", config.exclude_dirs, include), config, sides, manifests.testpaths(texts.get("pyproject.toml")))
 
     # ------------------------------------------------------------ rules
@@ -96,7 +118,7 @@ class Engine:
         """All drafts of some engines as one plan. An engine whose plan can't be made gives a finding that says so."""
         out = []
         for name in engines:
-            category, rules = ENGINES[name]
+            category, rules = self.engines[name]
             try:
                 out += [d for rule in rules if (d := rule(self.analysis)) is not None]
             except Exception:
@@ -110,22 +132,28 @@ class Engine:
         one = self.analysis.facts.records.groupBy("project").agg(F.min("rel").alias("rel"))
         return Fi.draft(one, "engine-panic", category, "certain", F.lit(f"engine {name} failed: {last}"), [F.lit(name)], "report-bug", F.lit("Report this"), line=F.lit(1), severity="error")
 
-    def isolated(self, engines: list[str]) -> DataFrame:
-        """Like findings, but each engine runs by itself first, so that one that fails while running costs only itself."""
-        out = []
-        for name in engines:
-            try:
-                out.append(self.workspace.keep(self.drafts([name]), f"drafts-{name}"))
-            except Exception:
-                out.append(self._broken(name, ENGINES[name][0]))
-        return self._finalize(reduce(DataFrame.unionByName, out))
+    def _ran(self, engines: list[str]) -> DataFrame:
+        """The drafts, written. If their common plan fails while it runs, each engine runs by itself, so that one that
+        fails costs only itself."""
+        run = uuid.uuid4().hex[:8]
+        try:
+            return self.workspace.keep(self.drafts(engines), f"drafts-{run}")
+        except Exception:
+            out = []
+            for name in engines:
+                try:
+                    out.append(self.workspace.keep(self.drafts([name]), f"drafts-{run}-{name}"))
+                except Exception:
+                    out.append(self._broken(name, self.engines[name][0]))
+            return reduce(DataFrame.unionByName, out)
 
     def _finalize(self, drafts: DataFrame) -> DataFrame:
         found = Fi.finish(drafts, self.tool)
         return Fi.configure(Fi.suppress(found, self.analysis.facts.listed("ignores")), self.config.severity, self.config.ignore)
 
     def findings(self, engines: list[str]) -> DataFrame:
-        return self._finalize(self.drafts(engines))
+        """The findings of some engines. Runs them; an engine that fails gives one finding, engine-panic."""
+        return self._finalize(self._ran(engines))
 
     def audit(self) -> DataFrame:
         return self.findings(AUDIT)

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.identity import occurrence
-from ..functions.versions import spec_matches, specs_intersect
+from ..functions.versions import parsed_spec, parsed_version, satisfies, specs_intersect
 from ..operators import findings as Fi
-from ..operators.clones import kgrams
+from ..operators import relations as R
+from ..operators.clones import repeated
 from ..operators.graph import reach
+from ..operators.rules import architecture
 from ..scratch import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,8 +48,7 @@ r AS (SELECT gram, count(*) AS members, count(DISTINCT doc_id) AS docs, min({'d'
 SELECT first.d AS doc_id, CAST(first.p AS INTEGER) AS pos, members, docs FROM r""")
 def clone_kgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of 40 words that occur more than once: the first place, how often, in how many documents."""
-    # One exchange serves both aggregates; as most runs occur once, combining before it would save nothing.
-    runs = kgrams(_words(table(spark, sf_dir, "documents")), ["doc_id"], "words", 40).repartition("h1", "h2")
+    runs = repeated(_words(table(spark, sf_dir, "documents")), ["doc_id"], "words", 40)
     per = runs.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     out = per.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.sum("n").alias("members"), F.count("*").alias("docs")).filter("members > 1")
     return out.select("first.doc_id", "first.pos", "members", "docs")
@@ -69,8 +70,7 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that occur more than once. Partial counts by document keep hot lines small."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
-    per = lines.groupBy("line", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).filter("n > 1")
+    return R.repeats(lines, "line", "doc_id").withColumnRenamed("owners", "docs")
 
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -79,16 +79,14 @@ _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 @kernel(f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_NAME}')) AS name FROM documents) GROUP BY name")
 def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each identifier-like word occurs."""
-    return _words(table(spark, sf_dir, "documents"), _NAME).select(F.explode("words").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return _words(table(spark, sf_dir, "documents"), _NAME).select(F.explode("words").alias("name")).transform(R.frequencies, "name")
 
 
 @kernel(r"""SELECT doc_id, round(CASE WHEN len(list_distinct(w)) > 1 THEN len(w) * log2(len(list_distinct(w))) ELSE 0 END, 4) AS volume
 FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)""")
 def halstead_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length times the logarithm of the vocabulary, of each document's words."""
-    w = _words(table(spark, sf_dir, "documents"))
-    kinds = F.size(F.array_distinct("words"))
-    return w.select("doc_id", F.round(F.when(kinds > 1, F.size("words") * F.log2(kinds.cast("double"))).otherwise(0.0), 4).alias("volume"))
+    return _words(table(spark, sf_dir, "documents")).select("doc_id", F.round(N.halstead_volume(F.col("words")), 4).alias("volume"))
 
 
 @kernel("""SELECT p_partkey, round(m, 4) AS mi, CASE WHEN m >= 20 THEN 'A' WHEN m >= 10 THEN 'B' ELSE 'C' END AS rank FROM (
@@ -108,19 +106,17 @@ def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kernel("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, first FROM (SELECT *, first_value(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS first FROM lineitem) WHERE l_suppkey <> first""")
 def first_source_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose supplier isn't the first that shipped the part."""
-    first = F.first("l_suppkey").over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return table(spark, sf_dir, "lineitem").select(*keys, "l_shipdate").withColumn("first", first).filter("l_suppkey <> first").select(*keys, "first")
+    return R.conflicts(table(spark, sf_dir, "lineitem").select(*keys, "l_shipdate"), ["l_partkey"], "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]).select(*keys, "first")
 
 
-_GRAPH = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
- WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity >= 25 AND b.l_quantity >= 25 AND a.l_partkey <> b.l_partkey),
+_GRAPH = """e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey),
 r AS (SELECT CAST(p_partkey AS BIGINT) AS node FROM part WHERE p_size = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
 
 
 def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Edges from one returned large line of an order to the later ones; seeds are the parts of size 1."""
-    line = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 25")
+    """Edges from each line of an order to the later ones; seeds are the parts of size 1."""
+    line = table(spark, sf_dir, "lineitem")
     a = line.select("l_orderkey", F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("i"))
     b = line.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("j"))
     edges = a.join(b, "l_orderkey").filter("i < j and src <> dst").select("src", "dst").distinct()
@@ -154,11 +150,11 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @kernel(f"WITH t AS ({_TRADE}) SELECT src, dst, a.n_regionkey AS low, b.n_regionkey AS high FROM t JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE b.n_regionkey < a.n_regionkey")
 def layer_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade edges into a region of lower rank."""
-    n = table(spark, sf_dir, "nation")
-    a = n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("low"))
-    b = n.select(F.col("n_nationkey").alias("dst"), F.col("n_regionkey").alias("high"))
-    return _trade(spark, sf_dir).join(a, "src").join(b, "dst").filter("high < low").select("src", "dst", "low", "high")
+    """Trade edges into a region of lower rank; a nation's dotted name begins with its region, and regions are the layers."""
+    n = table(spark, sf_dir, "nation").withColumn("name", F.format_string("region%d.nation%d", "n_regionkey", "n_nationkey"))
+    a, b = n.select(F.col("n_nationkey").alias("src"), F.col("name").alias("importer")), n.select(F.col("n_nationkey").alias("dst"), F.col("name").alias("imported"))
+    order = [f"region{k}" for k in range(5)]
+    return architecture.upward(_trade(spark, sf_dir).join(a, "src").join(b, "dst"), order).select("src", "dst", F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"))
 
 
 @kernel(f"""WITH t AS (SELECT 'NATION.' || src AS importer, 'NATION.' || dst AS imported FROM ({_TRADE}))
@@ -166,7 +162,7 @@ SELECT importer, imported FROM t WHERE (importer = 'NATION.1' OR starts_with(imp
 def forbidden_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that a contract from one prefix to others forbids."""
     t = _trade(spark, sf_dir).select(*[F.concat(F.lit("NATION."), F.col(c).cast("string")).alias(n) for c, n in (("src", "importer"), ("dst", "imported"))])
-    return t.filter(N.under(F.col("importer"), F.lit("NATION.1")) & N.any_of(N.under(F.col("imported"), F.lit(x)) for x in ("NATION.2", "NATION.3")))
+    return architecture.forbidden(t, "NATION.1", ["NATION.2", "NATION.3"])
 
 
 @kernel("""SELECT p_partkey, ban FROM part JOIN (VALUES ('red'), ('small'), ('red.ring')) AS b(ban) ON replace(p_name, ' ', '.') = ban OR starts_with(replace(p_name, ' ', '.'), ban || '.')""")
@@ -184,8 +180,8 @@ AND w.event_type = 'error' AND e.event_type <> 'error' AND e.ts >= w.ts AND e.ts
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events within six hours after an error of their user: the user is the hash key, the range a residue."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    w = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("window_id"), F.col("ts").alias("begin"))
-    return e.filter("event_type <> 'error'").join(w, "user_id").filter("ts >= begin and ts < begin + interval 6 hours").select("event_id", "window_id", "begin")
+    w = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("window_id"), F.col("ts").alias("begin"), F.expr("ts + interval 6 hours - interval 1 microsecond").alias("finish"))
+    return R.enclosing(e.filter("event_type <> 'error'"), w, ["user_id"], "ts", "begin", "finish").select("event_id", "window_id", "begin")
 
 
 @kernel(f"SELECT event_id, window_id FROM ({_INSIDE})")
@@ -202,7 +198,7 @@ def interval_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kernel(f"SELECT event_id, window_id FROM ({_INSIDE}) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY begin DESC, window_id DESC) = 1")
 def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window that opened last around each event."""
-    return _inside(spark, sf_dir).groupBy("event_id").agg(F.max_by("window_id", F.struct("begin", "window_id")).alias("window_id"))
+    return R.innermost(_inside(spark, sf_dir), ["event_id"], ["begin", "window_id"], ["window_id"])
 
 
 _FOUND = "SELECT c_mktsegment AS project, CAST(o_orderkey AS VARCHAR) AS fingerprint, o_orderpriority AS rule, o_orderstatus AS category FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -265,8 +261,9 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT top, total, untyped, anchor FROM c WHERE total >= 20 AND untyped >= 0.4 * total""")
 def package_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of twenty or more, a share of which fails."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("top")).agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") < 4000).alias("untyped"), F.min("c_custkey").alias("anchor"))
-    return c.filter((F.col("total") >= 20) & (F.col("untyped") >= 0.4 * F.col("total")))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("top"), "c_acctbal", "c_custkey")
+    anchor = c.groupBy("top").agg(F.min("c_custkey").alias("anchor"))
+    return R.census(c, ["top"], F.col("c_acctbal") < 4000, 20, 0.4).filter("rolled").join(anchor, "top").drop("rolled")
 
 
 @kernel("""WITH u AS (SELECT DISTINCT l_suppkey, l_partkey, l_linenumber FROM lineitem),
@@ -285,7 +282,9 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with many orders of many lines; lines are counted before the join."""
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))  # noqa: E741
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(l, "o_orderkey", "left")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("churn"), F.coalesce(F.sum("n"), F.lit(0)).alias("complexity")).filter("churn >= 3 and complexity >= 15")
+    size = o.groupBy("o_custkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("complexity"))
+    churn = o.groupBy("o_custkey").agg(F.count("*").alias("commits"))
+    return R.hot(size, churn, ["o_custkey"], 15, 3).withColumnRenamed("commits", "churn")
 
 
 _PATH = r"^[a-z]+://[^/?#]*/?([^?#]*).*$"
@@ -325,7 +324,8 @@ def advisory_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version specs over versions made of two numbers."""
     specs = spark.createDataFrame([(">=10,<12.1000",), ("~=20.900",), ("==7.*",), ("!=1.901",)], "spec string")
     v = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string")).alias("version"))
-    return v.crossJoin(F.broadcast(specs)).filter(spec_matches("version", "spec")).select("p_partkey", "spec")  # four rows
+    v, specs = v.select("p_partkey", parsed_version("version").alias("v")), specs.select("spec", parsed_spec("spec").alias("s"))
+    return v.join(F.broadcast(specs), satisfies(F.col("v"), F.col("s"))).select("p_partkey", "spec")  # four rows
 
 
 _RANGES = [(">=1,<2", ">=1.5", True), (">=1,<2", ">=2", False), (">2.0,<2.0.1", "<3", True), ("==1.4.*", "<1.4.9", True), ("<1.0", ">=1.0", False), ("", ">=9", True), ("~=2.2", "<2.3", True), ("~=2.2", ">=3", False)]
@@ -340,33 +340,32 @@ def spec_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kernel("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice) = 1")
 def contract_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each part and supplier, by an aggregate that combines before the shuffle."""
-    order = F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
-    first = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(order).alias("first"))
-    return first.select("l_partkey", "l_suppkey", "first.l_orderkey", "first.l_linenumber")
+    keys, order = ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"]
+    return R.first_rows(table(spark, sf_dir, "lineitem").select(*keys, *order), keys, order).select(*keys, *order[:2])
 
 
 @kernel("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-06-01')")
 def cold_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without a late order."""
-    late = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp '2000-06-01'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(late, "c_custkey", "left_anti")
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    ran = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), day(F.col("o_orderdate")).alias("line"))
+    spans = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return R.unexecuted(spans, ran, ["c_custkey"], day(F.lit("2000-06-01").cast("date")), F.lit(2**31 - 1))
 
 
-_SECRET = r"(password|passwd|secret|token|api_key|apikey|access_key)"
+_SECRET = "(access_key|api_key|apikey|auth_token|passwd|password|private_key|secret|secret_key|token)"
 
 
 @kernel(f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '{_SECRET}')) AS INTEGER) AS n FROM documents WHERE regexp_matches(lower(text), '{_SECRET}')")
 def secret_like_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that speak of credentials, and how often."""
-    n = F.regexp_count(F.lower("text"), F.lit(_SECRET))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).filter("n > 0")
+    return table(spark, sf_dir, "documents").select("doc_id", N.secret_mentions(F.col("text")).alias("n")).filter("n > 0")
 
 
 @kernel("SELECT conv_id, turn, role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) WHERE before IS DISTINCT FROM role")
 def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose role differs from that of the turn before."""
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return table(spark, sf_dir, "conversations").withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("role"))).select("conv_id", "turn", "role")
+    return R.changes(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn", "role", "text"]).select("conv_id", "turn", "role")
 
 
 @kernel("""SELECT e.event_id, CASE WHEN EXISTS (SELECT 1 FROM events h WHERE h.event_type = 'signup' AND h.user_id = e.user_id AND dayofmonth(e.ts) BETWEEN dayofmonth(h.ts) AND dayofmonth(h.ts) + 3) THEN 'introduced' ELSE 'inherited' END AS attribution FROM events e WHERE e.event_type = 'error'""")

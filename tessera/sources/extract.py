@@ -77,6 +77,7 @@ class _Source:
     """A parsed file with its tokens."""
 
     def __init__(self, src: str):
+        src = re.sub(r"\r\n?", "\n", src)  # the parser takes either for the end of a line
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             self.tree = ast.parse(src)
@@ -554,18 +555,18 @@ class Resolver:
 
 def empty_record(rel: str, src: str) -> dict:
     lists = ("definitions", "imports", "nested_imports", "calls", "functions", "security_hits", "scope_findings", "classes", "unreachable", "type_leaks", "ignores", "name_counts", "local_uses", "attr_accessed", "module_used")
-    return {"rel": rel, "src": src, "tokens": clone_tokens(src), **{k: [] for k in lists}, "dunder_all": [], "has_all": False, "all_dynamic": False, "has_dynamic_sink": False, "has_main_guard": False, "halstead_volume": 0.0, "had_errors": True}
+    return {"rel": rel, "src": src, "tokens": [], **{k: [] for k in lists}, "dunder_all": [], "has_all": False, "all_dynamic": False, "has_dynamic_sink": False, "has_main_guard": False, "halstead_volume": 0.0, "had_errors": True}
 
 
 def extract(rel: str, src: str) -> dict:
+    """The facts of one file. Whatever goes wrong with it costs its own facts only."""
     src = src.removeprefix("﻿")
     out = empty_record(rel, src)
     try:
-        s = _Source(src)
-        got = _facts(s)
-    except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError):
+        out["tokens"] = clone_tokens(re.sub(r"\r\n?", "\n", src))
+        return out | _facts(_Source(src)) | {"had_errors": False}
+    except Exception:  # a text that isn't Python, nested too deep, or one that the rules' authors didn't think of
         return out
-    return out | got | {"had_errors": False}
 
 
 def _numbered(rows: list[dict]) -> list[dict]:

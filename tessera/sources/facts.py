@@ -85,7 +85,7 @@ class Facts:
     @property
     def lines(self) -> DataFrame:
         """(project, rel, line_no, text); a last empty line after the final line end isn't one."""
-        text = F.regexp_replace(F.col("src"), r"\r\n", "\n")
+        text = F.regexp_replace(F.col("src"), r"\r\n?", "\n")
         ended = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
         rows = self.records.filter(F.length("src") > 0).select("project", "rel", F.posexplode(F.split(ended, "\n", -1)).alias("at", "text"))
         return rows.select("project", "rel", (F.col("at") + 1).alias("line_no"), "text")

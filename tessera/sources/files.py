@@ -86,19 +86,21 @@ def discover(root: str, exclude: Iterable[str] = (), include: Iterable[str] = ()
     pruned names and `exclude` aren't unless named in `include`, which .gitignore doesn't hide either."""
     include, pruned, found, base = set(include), PRUNED | set(exclude), set(), Path(root)
 
-    def walk(folder: Path, rel: str, ignored: _Ignored, free: bool) -> None:
+    def walk(folder: Path, rel: str, ignored: _Ignored, free: bool, hidden: bool) -> None:
+        """free: below an included folder. hidden: ignored, and only entered to look for included ones."""
         ignored = ignored.below(folder, rel)
         for entry in sorted(os.scandir(folder), key=lambda e: e.name):
             at = f"{rel}/{entry.name}" if rel else entry.name
             if entry.is_dir(follow_symlinks=False):
                 wanted = free or entry.name in include
-                if Path(entry.path, "pyvenv.cfg").exists() or not wanted and (entry.name in pruned or ignored.hides(at, True) and not include):
+                unseen = not wanted and (hidden or ignored.hides(at, True))
+                if Path(entry.path, "pyvenv.cfg").exists() or not wanted and entry.name in pruned or unseen and not include:
                     continue
-                walk(Path(entry.path), at, ignored, wanted)
-            elif entry.name.endswith(SUFFIXES) and entry.is_file() and (free or not ignored.hides(at, False)):
+                walk(Path(entry.path), at, ignored, wanted, unseen)
+            elif entry.name.endswith(SUFFIXES) and entry.is_file() and (free or not hidden and not ignored.hides(at, False)):
                 found.add(at)
 
-    walk(base, "", _Ignored(), False)
+    walk(base, "", _Ignored(), False, False)
     return sorted(found)
 
 

@@ -198,9 +198,9 @@ def git_churn(root: str) -> list[tuple[str, int]]:
 
 
 def installed(root: str, env: str | None = None) -> list[tuple[str, str, str]]:
-    """(import name, distribution, version) of the project's environment; of several distributions with
+    """(import name, distribution, version) of the environment `env` where it has packages, else of the project's own; of several distributions with
     one import name that of the same name wins, else the first."""
-    places = [Path(env)] if env else [Path(root, d) for d in (".venv", "venv", "env", ".env")]
+    places = [*([Path(env)] if env else []), *(Path(root, d) for d in (".venv", "venv", "env", ".env"))]
     for place in places:
         site = next(iter(sorted([*place.glob("lib/python*/site-packages"), *place.glob("Lib/site-packages")])), None)
         if site:

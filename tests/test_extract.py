@@ -171,3 +171,30 @@ def test_security(rule):
     bad, good = SECURITY[rule]
     assert rule in names(facts(bad)["security_hits"], "rule")
     assert rule not in names(facts(good)["security_hits"], "rule")
+
+
+CHAOS = {
+    "mac.py": "import os\rdef f(a):\r  return 1\r  print(a)\r", "nul.py": "x = 1\x00\n", "deep.py": "x = " + "(" * 5000 + ")" * 5000, "form.py": "def f(a):\n\x0c    return a\n\x0c\nx = 1\n", "bom.py": "\ufeffx = 1\n",
+    "mixed.py": "a = 1\r\nb = 2\rc = 3\n# tessera: ignore\r\nimport os\r", "sep.py": "x = 'a\u2028b'\ny = 1\u0085\n", "open.py": "def f(:\n", "quote.py": "'''never closed", "tab.py": "if x:\n\ty = 1\n        z = 2\n", "end.py": "x = \\", "long.py": "x = " + "+".join(["1"] * 3000),
+}
+
+
+@pytest.mark.parametrize("rel", CHAOS)
+def test_no_file_breaks_the_run(rel):
+    got = extract(rel, CHAOS[rel])
+    assert got["rel"] == rel and isinstance(got["tokens"], list)
+
+
+def test_old_line_ends_are_line_ends():
+    got = extract("mac.py", CHAOS["mac.py"])
+    assert not got["had_errors"] and [d["line"] for d in got["definitions"]] == [2] and got["unreachable"] == [{"ord": 0, "line": 4, "after": "return"}]
+    assert [d["line"] for d in extract("mixed.py", CHAOS["mixed.py"])["definitions"]] == [1, 2, 3]
+    assert max(t["line"] for t in got["tokens"]) == 4
+
+
+def test_one_bad_file_costs_only_itself(spark):
+    from tessera.sources import files
+    from tessera.sources.facts import extract_records
+
+    got = {r.rel: r.had_errors for r in extract_records(files.from_mapping(spark, CHAOS)).collect()}
+    assert set(got) == set(CHAOS) and not got["mac.py"] and not got["mixed.py"] and got["nul.py"]

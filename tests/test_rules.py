@@ -127,7 +127,7 @@ def test_clones_against_all_suffixes(spark):
     for _ in range(4):
         texts = [(f"f{i}.py", [rng.choice("abc") for _ in range(rng.randint(10, 120))]) for i in range(4)]
         src = {name: "\n".join(toks) for name, toks in texts}
-        got = clones(facts_of(spark, files.from_mapping(spark, src)), 8, 1).collect()
+        got = clones(facts_of(spark, files.from_mapping(spark, src)), Workspace(spark, "clones"), 8, 1).collect()
         assert sorted((r.length, len(r.places)) for r in got) == naive_clones([t for t in texts if len(t[1]) >= 8], 8, 1)
 
 
@@ -204,3 +204,8 @@ def test_watch_equals_batch(spark, tmp_path):
     push("2.json", [{"project": "", "rel": "a.py", "src": "import b\nb.x\n"}, {"project": "", "rel": "b.py", "src": None}, {"project": "", "rel": "c.py", "src": "import sys\n"}])
     want = Engine.over_files(spark, {"a.py": "import b\nb.x\n", "c.py": "import sys\n"}).findings(["dead-code", "security"])
     assert seen[-1] == found(want) and len(seen) == 2
+    # Another process goes on from the checkpoint, and merges what it finds there.
+    watcher = Watcher(spark, lambda df, n: seen.append(found(df)), merge=1)
+    push("3.json", [{"project": "", "rel": "d.py", "src": "import os\n"}])
+    want = Engine.over_files(spark, {"a.py": "import b\nb.x\n", "c.py": "import sys\n", "d.py": "import os\n"}).findings(["dead-code", "security"])
+    assert seen[-1] == found(want) and [kind for kind, *_ in watcher._listed()] == ["merged"]

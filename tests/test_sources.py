@@ -85,3 +85,21 @@ def test_installed(tmp_path):
         (d / "METADATA").write_text(f"Name: {name}\nVersion: 1.5\n\nbody: x")
         (d / "top_level.txt").write_text(top)
     assert M.installed(str(tmp_path)) == [("yaml", "yaml", "1.5")]
+
+
+def test_include_frees_only_what_it_names(tmp_path):
+    for at in ("skip/s.py", "skip/build/deep.py", "build/b.py", "a.py", "other/o.py"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("")
+    (tmp_path / ".gitignore").write_text("skip/\n")
+    assert files.discover(str(tmp_path)) == ["a.py", "other/o.py"]
+    assert files.discover(str(tmp_path), include=["build"]) == ["a.py", "build/b.py", "other/o.py", "skip/build/deep.py"]
+
+
+def test_the_active_environment_comes_first(tmp_path):
+    for env, name in (("active", "one"), (".venv", "two")):
+        info = tmp_path / env / "lib" / "python3" / "site-packages" / f"{name}-1.dist-info"
+        info.mkdir(parents=True)
+        (info / "METADATA").write_text(f"Name: {name}\nVersion: 1\n")
+    assert [d for _, d, _ in M.installed(str(tmp_path), str(tmp_path / "active"))] == ["one"]
+    assert [d for _, d, _ in M.installed(str(tmp_path), str(tmp_path / "none"))] == ["two"]

@@ -152,8 +152,11 @@ def decode_audio(media: DataFrame, source: int = SOURCE, target: int = TARGET, b
     return got.withColumnRenamed("id", id_col)
 
 
-def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table has audio: the bytes of each page stand for a call's, coded by turns in the three codecs."""
+def page_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, codec, payload): no table has audio, so the bytes of each page stand for a call's, coded by turns in the three codecs."""
     codec = F.element_at(F.array(*map(F.lit, CODECS)), (F.pmod("page_id", F.lit(3)) + 1).cast("int"))
-    pages = table(spark, sf_dir, "pages").select("page_id", codec.alias("codec"), F.col("html").cast("binary").alias("payload"))
-    return decode_audio(pages, id_col="page_id")
+    return table(spark, sf_dir, "pages").select("page_id", codec.alias("codec"), F.col("html").cast("binary").alias("payload"))
+
+
+def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_audio(page_audio(spark, sf_dir), id_col="page_id")

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..operators.components import components
 from .common import Recent, Scratch, array_slices, starts_of, table, tokenized
-from .components import components
 
 PERMS, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
 CHUNK = 4096  # members of a bucket that are compared in one group

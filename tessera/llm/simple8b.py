@@ -199,6 +199,17 @@ def packer(path: str = VOCABULARY, block: int = BLOCK):
     return arrow_udf(run, "struct<n: int, words: binary, offsets: array<int>>")
 
 
+def coder(block: int = BLOCK):
+    """A column function: array of ids -> struct(n, words, offsets); a null counts as empty, null ids raise."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        rows = [np.array(x or [], np.int64) for x in ids.to_pylist()]
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        return _columns(*encode(np.concatenate(rows) if rows else np.zeros(0, np.int64), lengths, block), lengths, block)
+
+    return arrow_udf(run, "struct<n: int, words: binary, offsets: array<int>>")
+
+
 def unpacker(block: int = BLOCK):
     """A column function: (n, words, offsets) -> array<bigint> of ids (ids of 63 bits and less)."""
 

@@ -7,11 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import audio, bpe, chat, language_id, minhash, packing, simple8b, topk, toxicity, url_lists
 from tessera.llm.common import Scratch
-from tessera.llm.components import components
+from tessera.operators.components import components
 from tessera.llm.trees import BoostedTrees, Isotonic
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +35,7 @@ def test_viterbi_is_the_best_of_all_paths(spark):
         text = "\n".join(rng.choice(["User: what now?", "Well, this.", "- item one", "assistant: fine.", "    code()", "Do it!"]) for _ in range(rng.randint(1, 6)))
         lines = chat.split_lines([(None, text)])
         emit = model.scores(lines)
-        value = lambda path: model.start[path[0]] + emit[0, path[0]] + sum(model.step[lines[i][2]][path[i - 1], path[i]] + emit[i, path[i]] for i in range(1, len(path)))  # noqa: E731, B023
+        value = lambda path: model.start[path[0]] + emit[0, path[0]] + sum(model.step[lines[i].step][path[i - 1], path[i]] + emit[i, path[i]] for i in range(1, len(path)))  # noqa: E731, B023
         best = max(itertools.product(range(3), repeat=len(lines)), key=value)
         assert math.isclose(value(tuple(model.viterbi(lines))), value(best))
 
@@ -65,9 +67,65 @@ def test_roles_of_the_table_stand(spark):
     assert sum(got[c] == want[c] for c in got) >= 0.95 * len(got)
 
 
+@pytest.mark.parametrize("rows", [
+    [("user", "Is a > b?\na > b holds when a=2"), ("assistant", "ok\nAnswer: 42")],
+    [("assistant", "Context: none\n    code(a)\nq] model: 5"), ("user", "User: quoted\nQ: x")],
+    [(None, "q] what\na > b\nnothing: here"), ("user", "Assistant: not me")],
+])
+def test_no_text_is_lost(spark, rows):
+    model = chat.train(spark.read.parquet(f"{SF}/conversations.parquet"))
+    letters = lambda t: re.sub(r"\s", "", t)
+    got = model.turns(rows)
+    assert letters("".join(t for _, t in got)) == letters("".join(t for _, t in rows))
+    if all(r for r, _ in rows):
+        assert [r for r, _ in got] == [r for r, _ in rows]
+
+
+def test_only_decoded_markers_go(spark):
+    rng = random.Random(4)
+    model = chat.train(spark.read.parquet(f"{SF}/conversations.parquet"))
+    heads = ["User:", "<|assistant|>", "[system]", "**Human:**", "A:", "### Assistant", "a >", "[user>", "Answer", "x:", "- "]
+    for _ in range(60):
+        text = "\n".join(f"{rng.choice(heads)} {rng.choice(['Why so?', 'It is.', 'code(x)', ''])}" for _ in range(rng.randint(1, 8)))
+        lines = [x for x in chat.split_lines([(None, text)]) if x.text.strip()]
+        want = "".join(x.bare if x.marker == r else x.text for x, r in zip(lines, model.viterbi(lines)))
+        assert re.sub(r"\s", "", "".join(t for _, t in model.turns([(None, text)]))) == re.sub(r"\s", "", want)
+
+
+def test_withheld_roles_are_recovered(spark):
+    got = chat.op1_chat_format(spark, BIG).agg({"n_lines": "sum", "n_recovered": "sum"}).first().asDict()
+    assert got["sum(n_recovered)"] >= 0.85 * got["sum(n_lines)"] > 0
+
+
 # ---------------------------------------------------------------- 2 top-k
 
 
+def test_topk_prunes_by_coordinates_and_length():
+    rng = np.random.default_rng(7)
+    centres = np.eye(40) + 0.02 * rng.normal(size=(40, 40))
+    x = np.repeat(centres, 20, 0) + 0.01 * rng.normal(size=(800, 40))
+    x *= rng.lognormal(0, 0.7, (800, 1))
+    order = np.argsort(-np.linalg.norm(x, axis=1))
+    x, ids = x[order], np.arange(800)
+    top = topk.TopK(ids[::7], x[::7], 5)
+    for a in range(0, 800, 80):
+        top.meet(ids[a : a + 80], x[a : a + 80])
+    assert all(n > 0 for n in top.used.values()), top.used
+    scores = np.round(x[::7] @ x.T, 9)
+    for k, i in enumerate(ids[::7]):
+        want = sorted(((-scores[k, j], j) for j in range(800) if j != i))[:5]
+        assert top.near[top.row == k].tolist() == [j for _, j in want]
+
+
+def test_queries_are_those_that_are_asked_for(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 5)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df, k=3, bucket=10, queries=8, asking=F.col("id") % 20 == 0, group=2).collect()
+    want = {(i, r + 1, j) for i in range(0, 90, 20) for r, (_, j) in enumerate(sorted((-round(float(x[i] @ x[j]), 9), j) for j in range(90) if j != i)[:3])}
+    assert {(r.vec_id, r.rank, r.neighbour) for r in got} == want
+
+
 @pytest.mark.parametrize("bucket,queries", [(7, 14), (64, 64)])
 def test_topk_equals_all_products(spark, bucket, queries):
     rng = np.random.default_rng(5)
@@ -169,12 +227,48 @@ def test_trees_learn_an_interaction():
     assert ((model.decision(x[400:]) > 0) == y[400:]).mean() > 0.9
 
 
+def slow_features(text, lexicon):
+    """The dense features of one text, a token at a time."""
+    words = toxicity.Words(lexicon)
+    rows = [words._row(t) for t in text.split()]
+    n = max(len(rows), 1)
+    hits = [(i, r) for i, r in enumerate(rows) if r[0] > 0]
+    strong, weak = [h for h in hits if h[1][0] >= toxicity.STRONG], [h for h in hits if h[1][0] < toxicity.STRONG]
+    bit = lambda k: sum(r[1] >> k & 1 for r in rows)
+    near = sum(any(0 <= i + d < len(rows) and d and rows[i + d][1] & 1 for d in range(-3, 4)) for i, _ in hits)
+    return [
+        math.log1p(len(rows)), len(strong) / n, len(strong), len({r[4] for _, r in strong}), len(weak) / n, len(weak), sum(r[0] for _, r in hits) / n, max([r[0] for _, r in hits], default=0),
+        near / n, bit(0) / n, bit(1) / n, sum(r[2] for r in rows) / n, sum(r[3] for r in rows) / n, bit(2) / n, bit(3), bit(4) / n,
+    ]
+
+
+def test_features_by_hand(docs):
+    lexicon = dict.fromkeys(toxicity.SEED, 4.0) | {"bo*": 1.5, "the": 0.4}
+    texts = ["", "  ", "You IDIOT!!! st00pid l0ser", "the boat, the boats; bold?", "you " * 40 + "moron" + "!" * 30] + [r.text or "" for r in docs.limit(60).collect()]
+    got = toxicity.features(pa.array(texts), lexicon, 1)
+    assert np.allclose(got, [slow_features(t, lexicon) for t in texts])
+
+
+def test_a_split_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 9, (80, 3)).astype(float), (rng.random(80) < 0.4).astype(float)
+    model = BoostedTrees(trees=1, depth=1).fit(x, y)
+    feature, cut, value = model.nodes[0]
+    p = y.mean()
+    g, h = p - y, np.full(80, p * (1 - p))
+    gain = lambda m: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (m, ~m))
+    tried = {(j, c): gain(x[:, j] <= c) for j in range(3) for c in range(8) if 3 <= (x[:, j] <= c).sum() <= 77}
+    left = x[:, feature[0]] <= cut[0]
+    assert math.isclose(gain(left), max(tried.values()))
+    assert math.isclose(value[1], -0.2 * g[left].sum() / (h[left].sum() + 1))
+
+
 # ---------------------------------------------------------------- 5 near duplicates
 
 
 def test_groups_equal_all_pairs(spark, docs):
     rows = docs.select("doc_id", "text").collect()
-    sig, some = minhash.signatures([r.text or "" for r in rows])
+    sig, some = minhash.signatures(pa.array([r.text or "" for r in rows]))
     parent = {r.doc_id: r.doc_id for r in rows}
 
     def root(a):
@@ -192,6 +286,36 @@ def test_groups_equal_all_pairs(spark, docs):
     want = {d: root(d) for d in parent}
     pairs = lambda g: {(a, b) for m in _members(g) for a, b in itertools.combinations(sorted(m), 2)}
     assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.9 * len(pairs(want)) > 0
+    # Against the true share of common shingles: all pairs well above the threshold are found, none well below it is a link by itself.
+    grams = {r.doc_id: set(zip(w, w[1:], w[2:])) for r in rows if len(w := [x for t in (r.text or "").split() if (x := re.sub(r"^[\W_]+|[\W_]+$", "", t.lower()))]) >= 3}
+    ids = sorted(grams)
+    share = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for k, a in enumerate(ids) for b in ids[k + 1 :] if grams[a] and grams[a] & grams[b]}
+    near = [p for p, j in share.items() if j >= 0.7]
+    assert near and all(got[a] == got[b] for a, b in near)
+    groups_ = [m for m in _members(got) if len(m) == 2]
+    assert all(share.get(tuple(sorted(m)), 0) >= 0.3 for m in groups_ if set(m) <= grams.keys())
+
+
+def walked(spark, texts, chunk):
+    sigs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    scratch = Scratch(spark, "walk")
+    signed = minhash._signed(sigs.select("id", minhash.signature(sigs.text).alias("s")), scratch)
+    edges = minhash._edges(signed, 0.5, scratch, chunk)
+    roots = {bytes(r.node): bytes(r.root) for r in components(edges, scratch).collect()}
+    part = defaultdict(set)
+    for r in signed.collect():
+        part[roots.get(bytes(r.dg), bytes(r.dg))].add(r.id)
+    return sorted(map(sorted, part.values()))
+
+
+def test_large_buckets_are_cut_without_losing_links(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):  # all share a passage, so that buckets hold texts of many groups
+        own = [f"v{rng.randrange(10**6)}" for _ in range(45)]
+        texts += [" ".join(base + own), " ".join(base + own[:-2]), " ".join(base + own[2:])]
+    assert walked(spark, texts, 4096) == walked(spark, texts, 6) and len(walked(spark, texts, 6)) < len(texts)
 
 
 def _members(g):
@@ -204,7 +328,7 @@ def _members(g):
 def test_minima_estimate_jaccard():
     words = [f"w{i}" for i in range(400)]
     a, b = " ".join(words), " ".join(words[:300] + [f"v{i}" for i in range(100)])
-    sig, _ = minhash.signatures([a, b])
+    sig, _ = minhash.signatures(pa.array([a, b]))
     grams = lambda t: set(zip(t.split(), t.split()[1:], t.split()[2:]))
     truth = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
     assert abs((sig[0] == sig[1]).mean() - truth) < 0.12
@@ -251,6 +375,36 @@ def test_simple8b_round_trip():
     assert len(words) == 20  # 30 ids of 2 bits a word
 
 
+def slow_words(ids, block):
+    """(ids taken, selector, ids) of each block's words by the plain rule: the most ids that any selector covers."""
+    out = []
+    for a in range(0, len(ids), block):
+        rest = [int(x) for x in ids[a : a + block]]
+        while rest:
+            fits = [(min(int(simple8b.COUNT[s]), len(rest)), s) for s in range(1, 16) if all(x < 1 << int(simple8b.WIDTH[s]) for x in rest[: simple8b.COUNT[s]])]
+            take = max(fits)[0] if fits else 1
+            out.append(({s for n, s in fits if n == take} or {0}, rest[:take]))
+            rest = rest[take:]
+    return out
+
+
+def test_simple8b_words_by_hand():
+    rng = np.random.default_rng(10)
+    for block in (1, 5, 512):
+        for ids in ([0] * 130, [1, 0, 3, 7] * 40, rng.integers(0, 50_257, 900).tolist(), [2**60, 5, 2**60 - 1], (2 ** rng.integers(0, 60, 300)).tolist()):
+            words, _, _ = simple8b.encode(np.array(ids, np.uint64), np.array([len(ids)]), block)
+            left = [int(w) for w in words]
+            for selectors, taken in slow_words(ids, block):
+                word = left.pop(0)
+                s = word >> 60
+                assert s in selectors
+                if s:  # among selectors that cover as many any will do
+                    assert [word >> (i * int(simple8b.WIDTH[s])) & ((1 << int(simple8b.WIDTH[s])) - 1) for i in range(len(taken))] == taken
+                else:
+                    assert left.pop(0) == taken[0]
+            assert not left
+
+
 # ---------------------------------------------------------------- 7 language
 
 
@@ -375,3 +529,17 @@ def test_resampling_keeps_a_tone():
     got = audio.resample((9000 * np.sin(2 * np.pi * 440 * t)).astype(np.int16), 8000, 16000)
     want = 9000 * np.sin(2 * np.pi * 440 * np.arange(8000) / 16000)
     assert len(got) == 8000 and np.abs(got[200:-200] - want[200:-200]).max() < 90
+
+
+@pytest.mark.parametrize("source,target", [(8000, 16000), (8000, 11025), (16000, 8000), (8000, 8000)])
+def test_resampling_is_a_plain_convolution(source, target):
+    x = np.random.default_rng(1).integers(-20000, 20000, 90).astype(np.int16)
+    got = audio.resample(x, source, target)
+    g = math.gcd(source, target)
+    up, down = target // g, source // g
+    h = audio.sinc_filter(up, down)
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    full = np.convolve(wide, h)[len(h) // 2 :]
+    want = x if up == down else np.clip(np.rint(full[: len(x) * up : down]), -32768, 32767)
+    assert len(got) == -(-len(x) * up // down) and np.abs(got - want.astype(int)).max() <= 1

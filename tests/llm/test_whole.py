@@ -1,12 +1,13 @@
 """Queries over planted tables: what they must not leave out."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, queries, url_lists
+from tessera.llm import bpe, language_id, minhash, packing, queries, url_lists
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -46,7 +47,7 @@ def test_listed_urls_are_hit_at_each_scale(spark, sf):
 def test_shards_cover_each_document_and_conflict_in_none(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     source = {r.doc_id: r.source for r in docs.collect()}
-    whole, got = packing.pack_documents(docs).collect(), packing.pack_documents(docs, per_shard=20).collect()
+    whole, got = packing.pack_documents(docs, shards=1).collect(), packing.pack_documents(docs, shards=10).collect()
     total = lambda rows: {d: sum(r.length for r in rows if r.doc_id == d) for d in {r.doc_id for r in rows}}
     assert total(got) == total(whole)
     assert {r.shard for r in got} == set(range(10)) and {r.shard for r in whole} == {0}
@@ -71,3 +72,41 @@ def test_the_case_of_a_listed_path_counts(spark):
     pages = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)], "page_id bigint, url string, fetched string")
     got = {r.page_id: r.pattern for r in url_lists.filter_captures(pages, entries).collect()}
     assert got == {0: "example.org/Private", 1: None, 2: None, 3: "bad.example"}
+
+
+def test_no_distinct_text_is_lost_whatever_ids_repeat(spark):
+    a, b, c = "the first text has words of its own here", "quite another one that shares nothing with it", "and a third which is unlike both of them"
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (2, a, "y"), (None, b, "z"), (None, c, "z"), (None, c, "z"), (3, c.upper(), "x"), (4, "", "x"), (4, "", "x"), (None, None, "q")]
+    names = ("_away", "_again", "_row", "row", "Row_", "of", "node", "dg", "sig", "held", "root", "kept", "last", "n", "c0")
+    df = spark.createDataFrame(rows, DOCS).withColumns({k: F.lit(42) for k in names})
+    got = minhash.deduplicate(df)
+    assert got.columns == df.columns and {r[k] for r in got.collect() for k in names} == {42}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({(1, a): 1, (1, b): 1, (3, c.upper()): 1, (4, ""): 2, (None, None): 1})
+    one = {(r.doc_id, r.keep) for r in minhash.groups(df).collect()}
+    assert one == {(1, 1), (2, 0), (3, 1), (4, 1)}
+    links = {r.doc_id: r.links for r in minhash.groups(df.filter("doc_id in (1, 2)")).filter("keep = 0").collect()}
+    assert links == {2: 1}
+
+
+def test_null_ids_spread_over_shards(spark):
+    df = spark.createDataFrame([(None, f"text number {i} of many", f"s{i}") for i in range(60)], DOCS)
+    got = packing.pack_documents(df, shards=8).collect()
+    assert len(got) == 60 and len({r.shard for r in got}) > 4
+
+
+def test_what_is_no_letter_counts_for_nothing():
+    owner, *_ = language_id.ranked(["\U0001f642\U0001f642 !", "ab \U0001f642", "ab"], 99)
+    assert not (owner == 0).any() and (owner == 1).sum() == (owner == 2).sum()
+
+
+def test_queries_of_invariants_equal_their_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "embeddings", "lineitem"):
+        con.execute(f"create view {t} as select * from '{at}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got = queries.QUERIES[name](spark, at)
+        names = sorted(got.columns)
+        want = con.execute(sql).df()[names].values.tolist()
+        show = lambda rows: sorted("|".join("" if x is None or x != x else str(x).removesuffix(" 00:00:00") for x in r) for r in rows)
+        assert show(got.select(names).toPandas().values.tolist()) == show(want), name

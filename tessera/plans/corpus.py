@@ -230,6 +230,15 @@ except Exception:
     "tests/test_model.py": "import hypothesis\n\n\ndef test_shape():\n    assert hypothesis\n",
 }
 
+#: A project with an environment: what only installed packages, suppressions and large packages bring about.
+ENV = {
+    "pyproject.toml": '[project]\nname = "env"\ndependencies = ["numpy>=1.20", "six"]\n[project.scripts]\nenv = "bulk.start:main"\n',
+    "bulk/__init__.py": "",
+    "bulk/start.py": "import numpy\nimport six\nimport attr\nimport json  # noqa: F401\nimport os  # tessera: ignore[unused-import]\nimport re\nfrom bulk import many\n\n\ndef main() -> None:\n    print(numpy, six, attr, many)\n",
+    "bulk/many.py": "".join(f"def part{k}(value):\n    return value\n\n\n" for k in range(21)) + "def typed(value: int) -> int:\n    return value\n",
+}
+ENV_INSTALLED = [("numpy", "numpy", "1.21.2"), ("attr", "attrs", "23.1"), ("six", "six", "1.16")]
+
 LAB_ADVISORIES = """{"schema": "1", "source": "own", "advisories": [
  {"id": "ADV-1", "package": "OldLib", "specs": ["<1.5"], "summary": "overflow", "aliases": ["CVE-2020-1"], "severity": "high"},
  {"id": "ADV-2", "package": "numpy", "specs": [">=1.21,<1.21.5"], "summary": "", "aliases": []},

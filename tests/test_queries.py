@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import analyzer, kernels
+from tessera.plans import analyzer, kernels, planted
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,9 +25,9 @@ def rows(frame):
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [*kernels.QUERIES, "audit_golden", "metrics_golden", "audit_score", "import_graph", "fix_plan", "trace_module", "rule_circular_dependency", "rule_untyped_function", "rule_vulnerable_dependency"])
+@pytest.mark.parametrize("name", [*kernels.QUERIES, *planted.QUERIES, "audit_golden", "metrics_golden", "audit_score", "import_graph", "fix_plan", "trace_module", "rule_circular_dependency", "rule_untyped_function", "rule_vulnerable_dependency", "engine_panic", "env_findings"])
 def test_query(spark, con, name):
-    f, sql = {**kernels.QUERIES, **analyzer.QUERIES}[name], {**kernels.ORACLES, **analyzer.ORACLES}[name]
+    f, sql = {**kernels.QUERIES, **planted.QUERIES, **analyzer.QUERIES}[name], {**kernels.ORACLES, **planted.ORACLES, **analyzer.ORACLES}[name]
     got, want = f(spark, SF).toPandas(), con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

@@ -99,14 +99,23 @@ def bounded_sample(df: DataFrame, key: str, most: int, by: str | None = None) ->
 class Recent(dict):
     """What `make` gives by key, kept for the keys met lately: at most `most` of up to 64 characters.
 
-    Two generations: when the young one holds half of `most`, it takes the place of the old one.
+    Two generations: when the young one holds half of `most`, it takes the place of the old one. Workers serve one operator
+    after another: of the memos that are to be alone in theirs, only the one last asked for something new holds anything.
     """
 
-    def __init__(self, make, most: int = 600_000):
+    _holder: Recent | None = None
+
+    def __init__(self, make, most: int = 600_000, alone: bool = False):
         super().__init__()
+        self.alone = alone
         self.make, self.half, self.old = make, most // 2, {}
 
     def __missing__(self, key: str):
+        if self.alone and Recent._holder is not self:
+            if Recent._holder is not None:
+                Recent._holder.clear()
+                Recent._holder.old = {}
+            Recent._holder = self
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -43,7 +43,7 @@ def _word_hash(raw: str) -> int:
     return (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1) if word else 0
 
 
-_words = Recent(_word_hash)
+_words = Recent(_word_hash, alone=True)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

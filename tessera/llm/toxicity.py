@@ -46,7 +46,7 @@ class Words:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.rows = Recent(self._row)
+        self.rows = Recent(self._row, alone=True)
 
     def weight(self, word: str) -> float:
         get = self.lexicon.get

@@ -198,3 +198,45 @@ def test_one_bad_file_costs_only_itself(spark):
 
     got = {r.rel: r.had_errors for r in extract_records(files.from_mapping(spark, CHAOS)).collect()}
     assert set(got) == set(CHAOS) and not got["mac.py"] and not got["mixed.py"] and got["nul.py"]
+
+
+def test_a_file_is_walked_once(monkeypatch):
+    """Nodes' children are found once and kept: no rule walks the tree by itself."""
+    import ast
+
+    walks, walk, below = [], ast.walk, ast.iter_child_nodes
+    monkeypatch.setattr(ast, "walk", lambda n: walks.append(n) or walk(n))
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda n: walks.append(n) or below(n))
+    f = facts("""
+        def a(x):
+            global t
+            t = u = 1
+            return [y for y in x if y and t]
+        class B:
+            def c(self): return self.d
+    """)
+    monkeypatch.undo()
+    assert not walks and not f["had_errors"]
+    assert [(r["name"], r["cyclomatic"]) for r in f["functions"]] == [("a", 4), ("c", 1)]
+    assert names(f["scope_findings"]) == []
+
+
+def test_globals_count_for_the_functions_around_them():
+    f = facts("""
+        def a():
+            b = 1
+            def inner():
+                nonlocal b
+        def c(): b = 1
+        def d(): global e; e = 1
+        def g(): e = 2
+    """)
+    assert [(r["name"], r["line"]) for r in f["scope_findings"]] == [("b", 6), ("e", 8)]
+
+
+def test_literal_tokens():
+    cases = {
+        '"""a"b""c\\"""d"""e': ["STR", "e"], "'''a'\n''b'''c": ["STR", "c"], '"""open\\': ["STR"], '"a\\"b" c': ["STR", "c"], '"a\nb': ["STR", "b"],
+        "'a\\\nb' c": ["STR", "c"], '"a\\': ["STR"], '""""a"""b': ["STR", "b"],
+    }
+    assert {src: names(clone_tokens(src), "norm") for src in cases} == cases

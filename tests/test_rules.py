@@ -32,6 +32,14 @@ def test_relative_and_lazy_imports(spark):
     assert [x[1:3] for x in found(e.findings(["deps"]), "unresolved-import")] == [("p/lost.py", 1)]
 
 
+def test_what_is_not_asked_for_is_not_made(spark):
+    e = Engine.over_files(spark, {"a.py": "import b\ndef f(x):\n    return x if x else 1\n", "b.py": ""})
+    assert {(r.rel, r.functions, r.total_cyclomatic) for r in e.metrics().collect()} == {("a.py", 1, 2), ("b.py", 0, 0)}
+    assert "graph" not in vars(e.analysis)
+    assert [tuple(r) for r in e.import_edges().collect()] == [("", "a", "b")]
+    assert "modules" not in vars(e.analysis.graph)
+
+
 def test_import_confidence(spark):
     e = Engine.over_files(spark, {
         "main.py": "import used_by_try\nimport kept as kept\nimport a, b\nfrom c import d, e\nprint(d)\ntry:\n    import probe\nexcept ImportError:\n    pass\nif __name__ == '__main__':\n    pass\nfrom typing import cast\nimport quoted\nv = cast('quoted.X', 1)\nimport silent  # noqa\n",

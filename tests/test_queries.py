@@ -42,3 +42,17 @@ def test_every_rule_has_its_rows(spark):
     got = analyzer.engine(spark, "lab").findings([*AUDIT, "coverage"]).select("rule", F.col("location.path"), F.col("location.line"), "confidence").collect()
     want = sorted((rule, *r) for rule, (_, rs) in analyzer.EXPECTED.items() for r in rs)
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_lcom_star_parts_rows_by_their_number(spark, tmp_path, monkeypatch):
+    """More rows give more parts, not larger ones; no row is expanded; nulls count as in SQL."""
+    rows = [(s, p, n) for s in (1, 2, None) for p in (1, 2, 3, None) for n in (1, 2, None) if (s or 0) + (p or 0) + (n or 0) != 5]
+    spark.createDataFrame(rows * 2, "l_suppkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(kernels, "TASK_ROWS", 10, raising=False)
+    got = kernels.lcom_star(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and f", {-(-len(rows) * 2 // 10)}" in plan.split("RepartitionByExpression")[1].splitlines()[0]
+    c = duckdb.connect()
+    c.execute("create table lineitem (l_suppkey bigint, l_partkey bigint, l_linenumber integer)")
+    c.executemany("insert into lineitem values (?, ?, ?)", rows * 2)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, c.execute(kernels.ORACLES["lcom_star"]).fetchall()))

@@ -240,3 +240,30 @@ def test_literal_tokens():
         "'a\\\nb' c": ["STR", "c"], '"a\\': ["STR"], '""""a"""b': ["STR", "b"],
     }
     assert {src: names(clone_tokens(src), "norm") for src in cases} == cases
+
+
+def test_both_lexers_agree():
+    """The fast lexer stands back where a sign outside of literals isn't plain ASCII, and takes all else as the other does."""
+    from tessera.sources import tokens
+
+    rng, fell = random.Random(1), 0
+    for _ in range(3000):
+        s = "".join(rng.choice(["a", "b1", "'", '"""', "\\", "\n", " ", "#", "é", "\x1c", " ", "²", "1.5", "("]) for _ in range(rng.randint(0, 25)))
+        fast = tokens._scanned(s, tokens._ASCII)
+        fell += fast is None
+        assert fast is None or fast == tokens._scanned(s, tokens._LEXER)
+    assert 0 < fell < 3000
+    assert names(clone_tokens("é = '''ß'''"), "norm") == ["é", "=", "STR"] and tokens._scanned("x = '''ß'''", tokens._ASCII) is not None
+
+
+def test_the_collector_rests_while_files_are_read(monkeypatch):
+    import gc
+
+    from tessera.sources import facts as F
+
+    seen = []
+    monkeypatch.setattr(F, "extract", lambda rel, src: seen.append(gc.isenabled()) or {"rel": rel} if src else 1 / 0)
+    assert F._extracted([{"project": "p", "rel": "a.py", "src": "x"}]) == [{"project": "p", "rel": "a.py"}] and seen == [False] and gc.isenabled()
+    with pytest.raises(ZeroDivisionError):
+        F._extracted([{"project": "p", "rel": "a.py", "src": ""}])
+    assert gc.isenabled()

@@ -217,3 +217,34 @@ def test_watch_equals_batch(spark, tmp_path):
     push("3.json", [{"project": "", "rel": "d.py", "src": "import os\n"}])
     want = Engine.over_files(spark, {"a.py": "import b\nb.x\n", "c.py": "import sys\n", "d.py": "import os\n"}).findings(["dead-code", "security"])
     assert seen[-1] == found(want) and [kind for kind, *_ in watcher._listed()] == ["merged"]
+
+
+def test_each_group_takes_whole_groups_in_order(spark):
+    import pyarrow as pa
+
+    from tessera.operators.relations import each_group
+
+    rows = [(p, k, n) for p in ("a", "b", None) for k in (1, 2) for n in range(1200)]
+    schema, arrow = "p string, k int, n int, ok boolean", pa.schema([("p", pa.string()), ("k", pa.int32()), ("n", pa.int32()), ("ok", pa.bool_())])
+    run = lambda held: [{"p": held[0]["p"], "k": held[0]["k"], "n": len(held), "ok": [r["n"] for r in held] == list(range(1200))}]
+    got = each_group(spark.createDataFrame(rows, "p string, k int, n int"), ["p", "k"], ["n"], run, schema, arrow).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((p, k, 1200, True)) for p in ("a", "b", None) for k in (1, 2))
+    assert each_group(spark.createDataFrame([], "p string, k int, n int"), ["p", "k"], ["n"], run, schema, arrow).collect() == []
+
+
+def test_what_a_file_tells_of_itself_is_not_shuffled(spark):
+    """Definitions and bindings that their own file uses are dropped within its row; of a name all stay or none."""
+    from tessera.operators.rules import dead_code
+
+    src = {
+        "a.py": "import os, sys\nimport os\nfrom b import x as y\n__all__ = ['kept']\ndef kept(): return sys\ndef idle(): pass\ndef idle(): return 1\ndef used(): pass\nused()\n",
+        "dyn.py": "import json\ndef f(): return getattr(1, 'f')\nf()\n",
+    }
+    e = Engine.over_files(spark, src)
+    assert sorted((r.rel, r.name, r.ord) for r in dead_code.idle_definitions(e.analysis).collect()) == [("a.py", "idle", 1), ("a.py", "idle", 2), ("dyn.py", "f", 0)]
+    assert sorted((r.rel, r.line, *r.idle) for r in e.analysis.graph.imports.filter("size(idle) > 0").collect()) == [("a.py", 1, "os"), ("a.py", 2, "os"), ("a.py", 3, "y"), ("dyn.py", 1, "json")]
+    found = e.findings(["dead-code"]).select("rule", "location.path", "location.line").collect()
+    assert "src" not in e.analysis.facts.table.columns and "src" in e.analysis.facts.records.columns
+    assert [tuple(r) for r in sorted(found) if r.rule in ("unused-import", "unused-export") and r.path == "a.py"] == [
+        ("unused-export", "a.py", 6), ("unused-export", "a.py", 7), *[("unused-import", "a.py", n) for n in (1, 2, 3)],
+    ]
